@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shutterloom.llm import glyphs, history
+from shutterloom.llm import glyphs, history, leakage, neighbours
 from shutterloom.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.top_similar(table(spark, d, "person_centroids"), "person_id", "centroid", k=10, min_similarity=0.85)
+    return near.select(F.least("id", "neighbour_id").alias("person_id_a"), F.greatest("id", "neighbour_id").alias("person_id_b")).distinct()
+
+
+def p1_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar to each person whose id is divisible by 100, among all."""
+    near = neighbours.top_similar(table(spark, d, "person_centroids"), "person_id", "centroid", k=10, only="id % 100 = 0", probes=None, beam=200)
+    return near.select(F.col("id").alias("person_id"), "neighbour_id", F.round("similarity", 6).alias("similarity"), "place")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.same_looking(table(spark, d, "scan_observations"), table(spark, d, "media_files"))
 
@@ -16,6 +28,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return history.repeats(table(spark, d, "incoming_media"), table(spark, d, "media_files"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """For each test item that leaked: in how many documents, and the largest share of its words carried."""
+    found = leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("word_share"), 6).alias("largest_share"))
+
+
 def _hex_sql(column: str) -> str:
     bare = rf"regexp_replace(regexp_replace(regexp_replace({column}, '\s+', '', 'g'), '^(?i:(?:sha|md|blake)[-_]?[0-9a-z]{{1,4}}[:=])', ''), '^0x([0-9a-fA-F]+)$', '\1')"
     plain = f"lower(regexp_replace({bare}, '[:-]', '', 'g'))"
@@ -45,5 +67,27 @@ SELECT DISTINCT o.id AS obs_id, f.file_id FROM o JOIN f ON o.form = f.form
 WHERE o.p <> f.p OR f.filename IS DISTINCT FROM list_extract(string_split(o.p, '/'), -1)
 """
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found}
-SQL = {"p4_found": _P4, "p6_found": _P6}
+_P1 = """
+WITH v AS (SELECT person_id AS id, min(centroid) AS c FROM person_centroids
+  WHERE person_id IS NOT NULL AND len(centroid) = 64 AND len(list_filter(centroid, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+    AND len(list_filter(centroid, lambda e: e <> 0)) > 0 GROUP BY person_id),
+pairs AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.c, b.c) AS s FROM v a JOIN v b ON a.id <> b.id {only}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS place FROM pairs)
+"""
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_topk": p1_topk,
+    "p4_found": p4_found,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_leaked_items": p7_leaked_items,
+}
+SQL = {
+    "p1_found": _P1.format(only="")
+    + "SELECT DISTINCT least(id, other) AS person_id_a, greatest(id, other) AS person_id_b FROM ranked WHERE place <= 10 AND s >= 0.85",
+    "p1_topk": _P1.format(only="WHERE a.id % 100 = 0")
+    + "SELECT id AS person_id, other AS neighbour_id, round(s, 6) AS similarity, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 10",
+    "p4_found": _P4,
+    "p6_found": _P6,
+}
