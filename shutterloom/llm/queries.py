@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterloom.llm import glyphs, history, leakage, neighbours
+from shutterloom.llm import glyphs, history, leakage, names, neighbours
 from shutterloom.sources.tables import table
 
 
@@ -20,6 +20,17 @@ def p1_topk(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("id").alias("person_id"), "neighbour_id", F.round("similarity", 6).alias("similarity"), "place")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_pairs(table(spark, d, "people"))
+
+
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each row that names somebody, with the smallest id of its entity."""
+    e = names.entities(table(spark, d, "people"))
+    least = e.groupBy("entity").agg(F.min("id").alias("entity_id"), F.count("*").alias("spelled_by"))
+    return e.join(least, "entity").select("id", "entity_id", "spelled_by")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.same_looking(table(spark, d, "scan_observations"), table(spark, d, "media_files"))
 
@@ -78,6 +89,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other)
 QUERIES = {
     "p1_found": p1_found,
     "p1_topk": p1_topk,
+    "p2_found": p2_found,
+    "p2_entities": p2_entities,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
