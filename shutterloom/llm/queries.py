@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterloom.llm import glyphs, history, leakage, names, neighbours
+from shutterloom.llm import glyphs, history, leakage, mixing, names, neighbours, readability
 from shutterloom.sources.tables import table
 
 
@@ -49,6 +49,24 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("word_share"), 6).alias("largest_share"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return readability.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by language and whole grade: documents and words."""
+    levels = p9_levels(spark, d)
+    return levels.groupBy("language", F.floor("grade").alias("grade_from")).agg(F.count("*").alias("documents"), F.sum("words").alias("words"))
+
+
 def _hex_sql(column: str) -> str:
     bare = rf"regexp_replace(regexp_replace(regexp_replace({column}, '\s+', '', 'g'), '^(?i:(?:sha|md|blake)[-_]?[0-9a-z]{{1,4}}[:=])', ''), '^0x([0-9a-fA-F]+)$', '\1')"
     plain = f"lower(regexp_replace({bare}, '[:-]', '', 'g'))"
@@ -95,6 +113,10 @@ QUERIES = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_leaked_items": p7_leaked_items,
+    "p8_mix": p8_mix,
+    "p8_report": p8_report,
+    "p9_levels": p9_levels,
+    "p9_profile": p9_profile,
 }
 SQL = {
     "p1_found": _P1.format(only="")
