@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters of other scripts that print like a Latin letter, and characters that print like one in ASCII.
 LOOKALIKES = {
@@ -74,8 +75,7 @@ def form_sql(column: str) -> str:
 
 def with_form(df: DataFrame, column: str, out: str) -> DataFrame:
     """``df`` with a further column: the consistent form of ``column``. A column already called ``out`` is replaced."""
-    kept = [c for c in df.columns if c != out]
-    schema = df.select(*[F.col(f"`{c}`") for c in kept], F.lit("").cast("string").alias(out)).schema
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != out], T.StructField(out, T.StringType(), True)])
     ident = '"' + column.replace('"', '""') + '"'
     label = '"' + out.replace('"', '""') + '"'
     sql = f"SELECT * EXCLUDE ({label}), {form_sql(ident)} AS {label} FROM _batch" if out in df.columns else f"SELECT *, {form_sql(ident)} AS {label} FROM _batch"
@@ -89,7 +89,7 @@ def with_form(df: DataFrame, column: str, out: str) -> DataFrame:
         con = duckdb.connect()
         con.execute("SET threads = 1")
         con.register("_batch", pa.RecordBatchReader.from_batches(first.schema, itertools.chain([first], batches)))
-        yield from con.execute(sql).to_arrow_reader()
+        yield from con.sql(sql).to_arrow_reader()
 
     return df.mapInArrow(run, schema)
 

@@ -129,7 +129,8 @@ def _streams(sized: DataFrame, held: DataFrame) -> DataFrame:
 
 def _prepared(documents: DataFrame, targets: DataFrame, total_tokens: int | None, vocabulary: str) -> tuple[DataFrame, DataFrame]:
     wanted = clean_targets(targets).select("source").distinct()
-    keyed = documents.join(wanted.withColumnRenamed("source", "_wanted"), source_key(F.col("source")) == F.col("_wanted"), "left_semi")
+    keyed = documents.select("doc_id", "text", "source", source_key(F.col("source")).alias("key"))
+    keyed = keyed.join(wanted.withColumnRenamed("source", "key"), "key", "left_semi")
     sized = cut_lineage(with_tokens(keyed, vocabulary=vocabulary).where("tokens > 0"))
     held = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     held = cut_lineage(held)

@@ -273,13 +273,16 @@ def top_similar(
         if not len(data) or not len(queries):
             return empty
         x, q = _matrix(data["vec"]), _matrix(queries["vec"])
-        best = Graph(x).ask(q, min(k + 1, len(x)), beam)
+        best = Graph(x).ask(q, min(2 * (k + 1), len(x)), beam)  # more than asked: double precision decides among them
         out = []
         for s in range(0, len(q), 4096):
             i, j = np.nonzero(best[s : s + 4096] >= 0)
             t = best[s : s + 4096][i, j]
             sim = np.einsum("nd,nd->n", q[s + i], x[t])
             keep = np.ones(len(sim), bool) if min_similarity is None else sim >= min_similarity - 1e-9
+            order = np.lexsort((-sim, i))
+            first = np.searchsorted(i[order], i[order])
+            keep[order[np.arange(len(order)) - first > k]] = False
             out.append(pd.DataFrame({"node": queries["node"].to_numpy()[s + i][keep], "other": data["node"].to_numpy()[t][keep], "similarity": sim[keep]}))
         return pd.concat(out)
 
