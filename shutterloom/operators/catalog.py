@@ -172,13 +172,13 @@ def keyed_upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataF
 def merge_people(faces: DataFrame, source: int, target: int) -> DataFrame:
     """Faces after one person was merged into another; where they came from first is kept."""
     hit = F.col("person_id") == source
-    return faces.withColumn("merged_from", F.when(hit, F.coalesce("merged_from", "person_id")).otherwise(F.col("merged_from"))).withColumn("person_id", F.when(hit, F.lit(target)).otherwise(F.col("person_id")))
+    return faces.withColumns({"merged_from": F.when(hit, F.coalesce("merged_from", "person_id")).otherwise(F.col("merged_from")), "person_id": F.when(hit, F.lit(target)).otherwise(F.col("person_id"))})
 
 
 def unmerge_people(faces: DataFrame, source: int, target: int) -> DataFrame:
     """The exact reverse of ``merge_people``."""
     hit = (F.col("person_id") == target) & (F.col("merged_from") == source)
-    return faces.withColumn("person_id", F.when(hit, F.lit(source)).otherwise(F.col("person_id"))).withColumn("merged_from", F.when(hit, F.lit(None)).otherwise(F.col("merged_from")))
+    return faces.withColumns({"person_id": F.when(hit, F.lit(source)).otherwise(F.col("person_id")), "merged_from": F.when(hit, F.lit(None)).otherwise(F.col("merged_from"))})
 
 
 def union_aliases(own: Column, other: Column, name: Column, most: int = 20, length: int = 128) -> Column:

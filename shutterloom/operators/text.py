@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterloom.functions.predicates import bigrams, contains_ci, tokens
+from shutterloom.functions.predicates import bigrams, contains_ci
 
 K1, B = 1.2, 0.75
 
 
-def _is(word: str):
-    return lambda x: x == F.lit(word)
+def _times(low: Column, word: str) -> Column:
+    """How often a token occurs in a lower-case text."""
+    edge = "[0-9a-z가-힣_]"
+    return F.when(F.contains(low, F.lit(word)), F.regexp_count(low, F.lit(f"(?<!{edge}){re.escape(word)}(?!{edge})"))).otherwise(0)
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str]) -> DataFrame:
     """(id, score), more negative is better: documents with any query token.
 
-    Only the query's tokens are exploded, with map-side counts; lengths come from the same pass. The statistics are one
-    row, so no text is shuffled.
+    Lengths and the query's token counts come from one narrow pass, and a text is searched for a token only where it
+    holds its letters at all. The statistics are one row, so no text is shuffled.
     """
     asked = sorted(set(query))
-    parts = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).select("id", F.size("t").alias("len"), *[F.size(F.filter("t", _is(q))).alias(f"tf{i}") for i, q in enumerate(asked)])
-    # an empty or null text has no tokens but counts as a row
-    parts = parts.withColumn("len", F.greatest("len", F.lit(0)))
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))  # a null text has no tokens but counts as a row
+    parts = docs.select(F.col(id_col).alias("id"), F.regexp_count(low, F.lit("[0-9a-z가-힣_]+")).alias("len"), *[_times(low, q).alias(f"tf{i}") for i, q in enumerate(asked)])
     stats = parts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))])
-    rows = parts.where(sum((F.greatest(F.col(f"tf{i}"), F.lit(0)) for i in range(len(asked))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))
+    rows = parts.where(sum((F.col(f"tf{i}") for i in range(len(asked))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for i in range(len(asked)):
         idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
-        tf = F.greatest(F.col(f"tf{i}"), F.lit(0)).cast("double")
+        tf = F.col(f"tf{i}").cast("double")
         score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     return rows.select("id", score.alias("score"))
 
@@ -45,8 +48,6 @@ def match_kind(text: Column, query: str) -> Column:
 
 def gram_overlap(docs: DataFrame, id_col: str, text_col: str, query: str, kept: str = "가-힣") -> DataFrame:
     """(id, hits): how many different bigrams of the query a text holds."""
-    import re
-
     bare = re.sub(f"[^{kept}]", "", query)
     grams = sorted({bare[i : i + 2] for i in range(len(bare) - 1)})
     wanted = F.array(*[F.lit(g) for g in grams]).cast("array<string>")

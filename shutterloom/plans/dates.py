@@ -61,9 +61,9 @@ def parse(query: str, today: date) -> Range | None:
     m = re.search(r"\b(?:last|past) (\d+) (day|week)s?\b", q)
     if m:
         return back(int(m[1]) * (7 if m[2] == "week" else 1)), today
-    if "this week" in q:
+    if re.search(r"\bthis week\b", q):
         return monday, today
-    if "this month" in q:
+    if re.search(r"\bthis month\b", q):
         return today.replace(day=1), today
     if re.search(r"\blast week\b", q):
         return monday - timedelta(days=7), monday - timedelta(days=1)

@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterloom.functions import predicates as P
 from shutterloom.operators import ranking, text, vectors
 from shutterloom.plans import planner
 from shutterloom.plans.planner import Plan
+from shutterloom.session import cut_lineage
 
 Encoder = Callable[[str], list[float]]
 
@@ -102,8 +103,6 @@ def run(library: DataFrame, plan: Plan, limit: int = 20, encode: Encoder | None
     solo = F.lit(len(plan.persons) == 1) & P.any_fits(_values("person"), [t.lower() for t in plan.persons]) & (F.coalesce("people", F.lit(0)) <= 1)
     order = [F.desc(F.coalesce(exact, F.lit(False))), F.desc(F.coalesce(solo, F.lit(False))), F.desc(F.coalesce(kind == "phrase", F.lit(False))), F.desc("score"), F.asc("id")]
     # at most three channels of bounded length: this order is over their few rows
-    from pyspark.sql import Window
-
     rows = rows.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
     if not plan.persons and not plan.exact_tag:
         rows = ranking.burst(rows, "taken", "score", "pos", burst_s)
@@ -116,13 +115,13 @@ def search(library: DataFrame, query: str, today: date, tags: dict[str, set[str]
     if not query.strip():
         return library.select("id", F.lit(0.0).alias("score"), F.lit("").alias("reason"), F.lit(0).alias("pos"), F.lit("").alias("used")).limit(0)
     plan = planner.make(query, today, tags)
-    out = run(library, plan, limit, **how)
+    out = cut_lineage(run(library, plan, limit, **how))  # at most ``limit`` rows, so that a rung runs once
     if not out.isEmpty():
         return out.withColumn("used", F.lit(plan.text))
     known = library.select(F.explode("tags").alias("t")).select(F.col("t.tag_value").alias("tag"))
     near = text.nearest_tag(known, "tag", plan.text).collect() if len(plan.text) >= 2 else []  # one row at most
     for other in [r.tag for r in near] + planner.without_conditions(plan):
-        out = run(library, planner.make(other, today, tags), limit, **how)
+        out = cut_lineage(run(library, planner.make(other, today, tags), limit, **how))
         if not out.isEmpty():
             return out.withColumn("used", F.lit(other))
     return out.withColumn("used", F.lit(plan.text))
@@ -131,8 +130,6 @@ def search(library: DataFrame, query: str, today: date, tags: dict[str, set[str]
 def suggest(tags: DataFrame, log: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     """(suggestion, source): tags first, those that begin with the prefix and frequent ones before, then recent queries
     that had results; each once without regard to case. tags: (tag_value); log: (query, result_count, at)."""
-    from pyspark.sql import Window
-
     hit = tags.where(P.contains_ci(F.col("tag_value"), prefix) & ~P.is_internal_person(F.col("tag_value"))).groupBy("tag_value").agg(F.count("*").alias("n"))
     hit = ranking.top(hit, 4 * limit, F.desc("n"), F.col("tag_value"))
     starts = F.startswith(F.lower("tag_value"), F.lit(prefix.lower()))
