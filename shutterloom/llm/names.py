@@ -46,6 +46,7 @@ peter philip priscilla quentin rachel raymond rebecca richard robert ronald rosa
 sebastian simon sophia stanley stephanie stephen susan susannah sylvester theodore theresa thomas timothy ulrich una valentina
 victor victoria vincent virginia walter william winifred xavier yolanda yvette zachary zelda
 """.split()
+_FORENAMES = frozenset(FORENAMES)
 SHORT = {
     "alexander": "lex alec sasha xander", "andrew": "drew", "anthony": "tony", "barbara": "babs", "beatrice": "trixie bee",
     "catherine": "kate kathy kitty katie kat cat", "charles": "charlie charley chuck chaz", "christopher": "kit topher", "dmitri": "dima mitya",
@@ -120,7 +121,7 @@ def _regular_shorts() -> dict[str, set[str]]:
 @lru_cache(100_000)
 def forenames_of(token: str) -> frozenset[str]:
     """The full forenames that a token may stand for: itself, as a short form, or with one slip."""
-    if token in FORENAMES:
+    if token in _FORENAMES:
         return frozenset([token])
     listed = _short_forms().get(token)
     if listed:
@@ -189,7 +190,7 @@ def parse(name: str | None) -> list[tuple[str, str, str]]:
         first, last = long[0], long[-1]
         orders = [(last, first)] if given else [(last, first), (first, last)]
     else:
-        exact = [t for t in given if t in FORENAMES or t in _short_forms()] or given
+        exact = [t for t in given if t in _FORENAMES or t in _short_forms()] or given
         first = exact[0]
         rest = [t for t in long if t not in given] or [t for t in long if t != first]
         orders = [(rest[-1] if long[0] == first else rest[0], first)]
