@@ -146,8 +146,8 @@ class LocalTree:
 
 def near_pairs(rows: DataFrame, id_col: str, lat_col: str, lon_col: str, km: float) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows of two different ids at most ``km`` apart by great circle."""
-    points = cut_lineage(valid_points(rows, id_col, lat_col, lon_col).withColumn("pos", F.min("id").over(_at())))
-    spots = points.where(F.col("pos") == F.col("id")).dropDuplicates(["pos", "lat", "lon"]).select("pos", "lat", "lon")
+    points = cut_lineage(valid_points(rows, id_col, lat_col, lon_col))
+    spots = cut_lineage(points.groupBy("lat", "lon").agg(F.min("id").alias("pos")))  # combined before the shuffle
     n = spots.count()
     taken = spots.select("lat", "lon").orderBy(F.xxhash64("lat", "lon")).limit(SPLIT_SAMPLE).toPandas()
     chord = 2 * math.sin(min(km / EARTH_KM, math.pi) / 2) * (1 + 1e-9) + 1e-12
@@ -179,12 +179,6 @@ def near_pairs(rows: DataFrame, id_col: str, lat_col: str, lon_col: str, km: flo
     return both.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def _at():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("lat", "lon")
-
-
 class Sweep:
     """Slabs of a plane sweep over the edges of rectangles: what is active between two neighbouring abscissae."""
 

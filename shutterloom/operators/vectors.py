@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shutterloom.functions.predicates import cosine
 
@@ -30,13 +34,47 @@ def mean_vectors(df: DataFrame, group_col: str, vector_col: str) -> DataFrame:
     return arrays.select("group", F.transform(raw, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm)).alias("centroid"), "n")
 
 
+#: Centroids or concepts that are sent to the tasks at once; more are handled in blocks of about this size.
+CLASS_BLOCK = 4096
+
+
+def _against(df: DataFrame, id_col: str, vector_col: str, classes: DataFrame, keep: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(id, key, similarity) of the pairs that ``keep`` picks from each block's matrix of cosines; classes: (key,
+    centroid). The classes are a query set: they go to the tasks in blocks, and rows meet them as matrix products."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    schema = T.StructType([rows.schema["id"], classes.schema["key"], T.StructField("similarity", T.DoubleType())])
+    blocks = max(1, math.ceil(classes.count() / (0.9 * CLASS_BLOCK)))
+    out = None
+    for n in range(blocks):
+        part = classes if blocks == 1 else classes.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == n)
+        known = sorted(((r["key"], np.array(r["centroid"], float)) for r in part.toLocalIterator() if r["centroid"]), key=lambda x: x[0])
+        by = {}
+        for k, v in known:
+            by.setdefault(len(v), []).append((k, v / (np.linalg.norm(v) or 1.0)))
+
+        def meet(batches: Iterator[pd.DataFrame], by=by) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                sizes = b["v"].map(len)
+                for size, group in by.items():
+                    own = b[sizes == size]
+                    if len(own):
+                        x = np.stack(own["v"].to_numpy())
+                        norm = np.linalg.norm(x, axis=1, keepdims=True)
+                        i, j = keep((x / np.where(norm == 0, 1.0, norm)) @ np.array([v for _, v in group]).T)
+                        s = np.einsum("nd,nd->n", x[i] / np.where(norm == 0, 1.0, norm)[i], np.array([group[q][1] for q in j]).reshape(len(j), size))
+                        yield pd.DataFrame({"id": own["id"].to_numpy()[i], "key": [group[q][0] for q in j], "similarity": s})
+
+        met = rows.mapInPandas(meet, schema)
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
 def closest_centroid(df: DataFrame, id_col: str, vector_col: str, centroids: DataFrame, key_col: str = "group") -> DataFrame:
-    """(id, key, similarity): the most similar centroid of each row; ties go to the smaller key. ``centroids`` is a table
-    of classes; pairs are reduced to one struct by an aggregate before any shuffle."""
-    c = centroids.select(F.col(key_col).alias("key"), F.col("centroid").alias("_c"))
-    pairs = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v")).crossJoin(c)
-    pairs = pairs.select("id", F.struct((-cosine(F.col("_v"), F.col("_c"))).alias("d"), F.col("key").alias("k")).alias("s")).where("s.d is not null")
-    return pairs.groupBy("id").agg(F.min("s").alias("s")).select("id", F.col("s.k").alias("key"), (-F.col("s.d")).alias("similarity"))
+    """(id, key, similarity): the most similar centroid of each row; ties go to the smaller key."""
+    classes = centroids.select(F.col(key_col).alias("key"), "centroid")
+    best = _against(df, id_col, vector_col, classes, lambda s: (np.arange(len(s)), np.argmax(s, axis=1)))
+    best = best.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("d"), "key")).alias("s"))
+    return best.select("id", F.col("s.key").alias("key"), (-F.col("s.d")).alias("similarity"))
 
 
 def absorb(clusters: DataFrame, threshold: float = 0.5, most: int | None = 200) -> DataFrame:
@@ -82,7 +120,9 @@ def cluster_online(df: DataFrame, shard_col: str, order_col: str, vector_col: st
 
 def concepts(df: DataFrame, id_col: str, vector_col: str, concept_rows: DataFrame, keep: int = 5) -> DataFrame:
     """(id, concept, similarity): the best concepts of each row at or above the concept's own threshold."""
-    c = concept_rows.select("concept", F.col("centroid").alias("_c"), "threshold")
-    pairs = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v")).crossJoin(F.broadcast(c)).select("id", "concept", cosine(F.col("_v"), F.col("_c")).alias("similarity"), "threshold")
-    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "concept")
-    return pairs.where(F.col("similarity") >= F.col("threshold")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).select("id", "concept", "similarity")
+    classes = concept_rows.select(F.col("concept").alias("key"), "centroid")
+    least = concept_rows.agg(F.min("threshold")).first()[0]
+    pairs = _against(df, id_col, vector_col, classes, lambda s: np.nonzero(s >= (least or 0.0)))
+    pairs = pairs.join(concept_rows.select(F.col("concept").alias("key"), "threshold"), "key").where(F.col("similarity") >= F.col("threshold"))
+    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "key")
+    return pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).select("id", F.col("key").alias("concept"), "similarity")

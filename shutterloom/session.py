@@ -71,3 +71,16 @@ def release(df: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         at = sc._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package: nothing to do where PYTHONPATH names its folder, as on a cluster that
+    has it installed or mounted; otherwise Spark hands the sources out with the application."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_shutterloom", False):
+        return
+    folder = tempfile.mkdtemp(prefix="shutterloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "shutterloom"), "zip", root, "shutterloom"))
+    sc._shutterloom = True
