@@ -149,3 +149,26 @@ def camera_time(text: Column) -> Column:
     """The first of several notations of a camera's time that can be read."""
     notations = ("yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy:MM:dd", "yyyy-MM-dd")
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(n)) for n in notations]).cast("timestamp_ntz")
+
+
+def wants_text_reading(name: Column, edges: Column, brightness: Column) -> Column:
+    """Whether an image is worth reading for text: by its name, or by its edges, fewer for PNG and for bright images."""
+    low = F.lower(name)
+    return low.rlike("screenshot|scan|receipt|document|note") | (low.endswith(".png") & (edges >= 0.025)) | (edges >= 0.08) | ((edges >= 0.045) & (brightness >= 0.5))
+
+
+def typed_tags(text: Column) -> Column:
+    """Tags typed into one field: ``#``, ``;`` and ``,`` part them; without regard to case the first spelling stays."""
+    parts = F.filter(F.transform(F.split(F.translate(text, "#;", ",,"), ","), F.trim), lambda x: x != "")
+    low = F.transform(parts, F.lower)
+    return F.filter(F.transform(parts, lambda x, i: F.when(F.array_position(low, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
+
+
+def caption_parts(text: Column) -> Column:
+    """The items of a comma-separated caption answer, without "none"."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.lower(F.trim(x))), lambda x: (x != "") & (x != "none"))
+
+
+def asset_path(kind: str, version: str, file_id: Column, suffix: str = "jpg") -> Column:
+    """Where a derived file lies: kind, version, two characters of the id, id."""
+    return F.concat(F.lit(f"{kind}/{version}/"), F.substring(file_id, 1, 2), F.lit("/"), file_id, F.lit(f".{suffix}"))

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from shutterloom.functions import predicates as P
 from shutterloom.operators import boxes, catalog, places, ranking, text, vectors
+from shutterloom.operators.components import components
+from shutterloom.operators.spatial import in_regions
 from shutterloom.plans import planner
-from shutterloom.plans.search import search
+from shutterloom.plans.search import search, suggest
 from shutterloom.sources.listing import sample_per_root
 from shutterloom.sources.tables import table
 from shutterloom.streaming import sync
@@ -608,6 +610,135 @@ def delta_dirs(spark, d):
     return catalog.changed_dirs(dirs("scan_observations").where("mtime_ns is not null or mtime_ns is null"), dirs("media_files"))
 
 
+# --- more enrichment and upkeep ---
+
+@query("SELECT file_id, regexp_matches(lower(filename), 'screenshot|scan|receipt|document|note') OR lower(filename) LIKE '%.png' AND e >= 0.025 OR e >= 0.08 OR e >= 0.045 AND b >= 0.5 AS read FROM (SELECT *, (size_bytes % 1000) / 10000.0::DOUBLE AS e, (size_bytes % 97) / 97.0::DOUBLE AS b FROM media_files)")
+def ocr_gate(spark, d):
+    m = table(spark, d, "media_files")
+    edges, bright = (F.col("size_bytes") % 1000) / 10000.0, (F.col("size_bytes") % 97) / 97.0
+    return m.select("file_id", P.wants_text_reading(F.col("filename"), edges, bright).alias("read"))
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey % 400 AS b FROM lineitem WHERE l_partkey % 400 < 60 AND l_suppkey <= 40 AND l_quantity = 7), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM u UNION SELECT u.b, r.seen FROM r JOIN u ON r.node = u.a) SELECT node, min(seen) AS component FROM r GROUP BY 1")
+def alias_clusters(spark, d):
+    rows = table(spark, d, "lineitem").where("l_partkey % 400 < 60 and l_suppkey <= 40 and l_quantity = 7")
+    return components(rows.select(F.col("l_suppkey").alias("a"), (F.lit(1_000_000) + F.col("l_partkey") % 400).alias("b")))
+
+
+@query("SELECT city_id, round(CASE WHEN ref = 'S' THEN -v ELSE v END, 7) AS decimal FROM (SELECT city_id, CASE WHEN latitude < 0 THEN 'S' ELSE 'N' END AS ref, floor(abs(latitude)) + floor(abs(latitude) * 60 % 60) / 60 + 30.0 / 3600 AS v FROM (SELECT DISTINCT city_id, latitude FROM cities WHERE latitude BETWEEN -90 AND 90))")
+def gps_dms(spark, d):
+    a = F.abs("latitude")
+    c = table(spark, d, "cities").where("latitude between -90 and 90").select("city_id", "latitude").distinct()
+    return c.select("city_id", P.dms(F.floor(a), F.floor(a * 60 % 60), F.lit(30.0), F.when(F.col("latitude") < 0, "S").otherwise("N")).alias("decimal"))
+
+
+@query("WITH a AS (SELECT id, display_name, CASE WHEN json_valid(aliases_json) AND json_type(aliases_json) = 'ARRAY' THEN CAST(aliases_json AS VARCHAR[]) ELSE [] END AS own FROM people), l AS (SELECT id, list_filter(list_concat(own, [display_name]), lambda x: trim(x) <> '') AS v FROM a) SELECT id, len(list_distinct(list_transform(v, lambda x: trim(x)))) AS aliases FROM l")
+def alias_union(spark, d):
+    own = F.from_json("aliases_json", "array<string>")
+    return table(spark, d, "people").select("id", F.size(catalog.union_aliases(own, F.array().cast("array<string>"), F.col("display_name"))).cast("long").alias("aliases"))
+
+
+@query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0 AND upper(text) <> text OR text IS NOT NULL AND doc_id % 3 = 1")
+def changed_text(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    stored = docs.where("doc_id % 3 <> 1").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.upper("text")).otherwise(F.col("text")))
+    return catalog.changed_text(docs.where("text is not null"), stored, "doc_id", "text").select("doc_id")
+
+
+@query("WITH q AS (SELECT file_id, 0 AS queue FROM media_files WHERE status = 'error' UNION ALL SELECT file_id, 1 FROM media_files WHERE exif_datetime IS NULL UNION ALL SELECT file_id, 2 FROM media_files WHERE width IS NULL) SELECT file_id, min(queue) AS queue FROM q GROUP BY 1 ORDER BY queue, file_id LIMIT 500")
+def work_queue(spark, d):
+    m = table(spark, d, "media_files")
+    return catalog.merge_work([m.where("status = 'error'"), m.where("exif_datetime is null"), m.where("width is null")], "file_id", 500)
+
+
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: lower(trim(x))), lambda x: x <> '' AND x <> 'none'), '|') AS parts FROM documents WHERE doc_kind = 'caption' AND text IS NOT NULL")
+def caption_parts(spark, d):
+    rows = table(spark, d, "documents").where("doc_kind = 'caption' and text is not null")
+    return rows.select("doc_id", F.array_join(P.caption_parts(F.col("text")), "|").alias("parts"))
+
+
+@query("WITH g AS (SELECT source_root, min(exif_datetime) AS first FROM media_files GROUP BY 1) SELECT file_id, coalesce(exif_datetime, first) AS taken FROM media_files JOIN g USING (source_root)")
+def repair_capture_time(spark, d):
+    m = table(spark, d, "media_files")
+    first = m.groupBy("source_root").agg(F.min("exif_datetime").alias("first"))
+    return m.join(first, "source_root").select("file_id", F.coalesce("exif_datetime", "first").alias("taken"))
+
+
+@query("WITH p AS (SELECT city_id, list_filter(list_transform(string_split(translate(name || '#' || upper(name) || ';' || ascii_name, '#;', ',,'), ','), lambda x: trim(x)), lambda x: x <> '') AS v FROM (SELECT DISTINCT city_id, name, ascii_name FROM cities)), k AS (SELECT city_id, v, list_transform(v, lambda x: lower(x)) AS low FROM p) SELECT city_id, array_to_string(list_filter(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN list_position(low, low[i]) = i THEN v[i] END), lambda x: x IS NOT NULL), '|') AS tags FROM k")
+def annotation_tags(spark, d):
+    c = table(spark, d, "cities").select("city_id", "name", "ascii_name").distinct()
+    typed = F.concat("name", F.lit("#"), F.upper("name"), F.lit(";"), F.col("ascii_name"))
+    return c.select("city_id", F.array_join(P.typed_tags(typed), "|").alias("tags"))
+
+
+@query("SELECT mix_name, source, target_weight FROM (SELECT mix_name, source, target_weight * 2 AS target_weight FROM mix_targets WHERE max_repeats = 4 UNION ALL SELECT mix_name, source, target_weight FROM mix_targets WHERE max_repeats IS DISTINCT FROM 4)")
+def keyed_upsert(spark, d):
+    t = table(spark, d, "mix_targets").select("mix_name", "source", "target_weight", "max_repeats")
+    new = t.where("max_repeats = 4").withColumn("target_weight", F.col("target_weight") * 2)
+    return catalog.keyed_upsert(t, new, ["mix_name", "source"]).select("mix_name", "source", "target_weight")
+
+
+@query("SELECT file_id, 'thumb/v1/' || substr(file_id, 1, 2) || '/' || file_id || '.jpg' AS path FROM media_files")
+def asset_paths(spark, d):
+    return table(spark, d, "media_files").select("file_id", P.asset_path("thumb", "v1", F.col("file_id")).alias("path"))
+
+
+@query(f"SELECT source_root, current_path FROM media_files WHERE status NOT IN ('error', 'replaced', 'excluded') AND source_root LIKE '/volumes/nas-home/%'")
+def known_paths(spark, d):
+    m = table(spark, d, "media_files")
+    return m.where(P.active(F.col("status"), ("error", "replaced", "excluded")) & F.startswith("source_root", F.lit("/volumes/nas-home/"))).select("source_root", "current_path")
+
+
+@query("SELECT current_path, sum(error_count)::BIGINT AS errors, max_by(error_stage, id) AS last_stage FROM scan_observations WHERE status = 'error' GROUP BY 1")
+def observation_errors(spark, d):
+    o = table(spark, d, "scan_observations").where("status = 'error'")
+    return o.groupBy("current_path").agg(F.sum("error_count").alias("errors"), F.max_by("error_stage", "id").alias("last_stage"))
+
+
+@query(_TAGS + ", g AS (SELECT file_id, string_agg(tag_type || '=' || tag_value, ';' ORDER BY tag_type, tag_value) AS tags FROM (SELECT DISTINCT * FROM t) GROUP BY 1) SELECT m.file_id, m.status, g.tags, coalesce(x.docs, 0) AS docs FROM media_files m LEFT JOIN g USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS docs FROM documents WHERE file_id IS NOT NULL GROUP BY 1) x USING (file_id)")
+def media_detail(spark, d):
+    g = tags(spark, d).distinct().groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("tag_type", "tag_value"))).alias("g"))
+    g = g.select("file_id", F.array_join(F.transform("g", lambda x: F.concat_ws("=", x["tag_type"], x["tag_value"])), ";").alias("tags"))
+    x = table(spark, d, "documents").where("file_id is not null").groupBy("file_id").agg(F.count("*").alias("docs"))
+    return table(spark, d, "media_files").select("file_id", "status").join(g, "file_id", "left").join(x, "file_id", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
+
+
+@query(_GPS + "SELECT DISTINCT l.file_id, k.code FROM l JOIN countries k ON l.lat BETWEEN k.bbox[2] AND k.bbox[4] AND CASE WHEN k.bbox[1] <= k.bbox[3] THEN l.lon BETWEEN k.bbox[1] AND k.bbox[3] ELSE l.lon >= k.bbox[1] OR l.lon <= k.bbox[3] END")
+def media_countries(spark, d):
+    # positions have numbers here, so that files at one place are looked up once
+    g = places.gps(table(spark, d, "media_files"))
+    at = g.select("lat", "lon").distinct().withColumn("spot", F.xxhash64("lat", "lon"))
+    held = in_regions(at, "spot", "lat", "lon", table(spark, d, "countries"), "code", "bbox")
+    return g.join(at, ["lat", "lon"]).join(held, F.col("spot") == F.col("id")).select("file_id", F.col("key").alias("code"))
+
+
+@query("WITH p AS (SELECT id, lower(trim(display_name)) AS k FROM people), w AS (SELECT DISTINCT display_name AS name FROM people WHERE id % 2 = 0 UNION SELECT 'nobody at all') SELECT w.name, coalesce(min(p.id), -1) AS person_id FROM w LEFT JOIN p ON lower(trim(w.name)) = p.k GROUP BY 1")
+def resolve_labels(spark, d):
+    p = table(spark, d, "people")
+    wanted = p.where("id % 2 = 0").select(F.col("display_name").alias("name")).unionByName(spark.createDataFrame([("nobody at all",)], "name string"))
+    none = p.limit(0).select("id", F.col("id").alias("root_id"))
+    found = catalog.resolve_labels(p.select("id", F.col("display_name").alias("label")), none, wanted)
+    return found.withColumn("person_id", F.coalesce("person_id", F.lit(-1)))  # -1: to be created
+
+
+@query("SELECT file_id, CASE WHEN length(s) = 10 THEN CAST(strptime(s, '%Y:%m:%d') AS TIMESTAMP) ELSE CAST(strptime(s, '%Y:%m:%d %H:%M:%S') AS TIMESTAMP) END AS taken FROM (SELECT file_id, CASE WHEN size_bytes % 2 = 0 THEN strftime(exif_datetime, '%Y:%m:%d') ELSE strftime(exif_datetime, '%Y:%m:%d %H:%M:%S') END AS s FROM media_files)")
+def camera_times(spark, d):
+    said = F.when(F.col("size_bytes") % 2 == 0, F.date_format("exif_datetime", "yyyy:MM:dd")).otherwise(F.date_format("exif_datetime", "yyyy:MM:dd HH:mm:ss"))
+    return table(spark, d, "media_files").select("file_id", P.camera_time(said).alias("taken"))
+
+
+@query()
+def suggestions(spark, d):
+    log = table(spark, d, "events").select(F.concat(F.lit("trip "), F.col("user_id").cast("string")).alias("query"), F.col("value").cast("long").alias("result_count"), F.col("ts").alias("at"))
+    return suggest(tags(spark, d), log, "tri", 10)
+
+
+@query()
+def nl_hard_filters(spark, d):
+    """A search with a date, an exclusion and a weekend in its plan."""
+    return search(library(spark, d), "bridge last year without receipt weekend", date(2024, 6, 1), limit=20)
+
+
 # --- people ---
 
 @query("SELECT l_orderkey AS file_id, CASE WHEN l_suppkey = 3 THEN 1 ELSE l_suppkey END AS person_id, count(*) AS faces FROM lineitem GROUP BY 1, 2")
