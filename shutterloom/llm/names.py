@@ -78,6 +78,10 @@ _PLACEHOLDER = re.compile(r"^(?:person|people|unknown|unnamed|unidentified|untit
 _LETTERS = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe", "ı": "i", "’": "'", "ʼ": "'"})
 
 
+#: Letters from which the index holds halves of a token instead of all that is left after deleting one letter.
+LONG_TOKEN = 64
+
+
 def slips(a: str, b: str) -> bool:
     """At most one insertion, deletion, substitution or swap of neighbours between two tokens."""
     if a == b:
@@ -262,9 +266,17 @@ def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def similar_tokens(tokens: DataFrame) -> DataFrame:
-    """(token, other), both ways: pairs of distinct ``token`` values one slip apart, by a symmetric-delete index."""
+    """(token, other), both ways: pairs of distinct ``token`` values one slip apart, by a symmetric-delete index.
+
+    Its size is the square of a token's length, so tokens longer than ``LONG_TOKEN`` are indexed by their halves: one
+    slip leaves one half as it is. Tokens of exactly that length are in both, to meet neighbours on either side.
+    """
     cuts = tokens.select("token").distinct().where(F.length("token") >= 5).withColumn("n", F.length("token"))
-    spread = F.array_union(F.array("token"), F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.col("n")))))
+    one_less = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.col("n"))))
+    # a slip leaves the first or the last half of a long token alone, up to the letter at the middle
+    halves = F.flatten(F.transform(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1), lambda m: F.array(F.md5(F.concat(F.lit("<"), m, F.substring("token", F.lit(1), F.floor(m / 2).cast("int") - 1))), F.md5(F.concat(F.lit(">"), m, F.substring("token", F.col("n") - F.floor(m / 2).cast("int") + 2, F.col("n")))))))
+    spread = F.when(F.col("n") <= LONG_TOKEN, F.array_union(F.array("token"), one_less)).otherwise(F.array())
+    spread = F.when(F.col("n") >= LONG_TOKEN, F.concat(spread, halves)).otherwise(spread)
     cuts = cuts.select("token", F.explode(spread).alias("cut"))
     pairs = cuts.alias("a").join(cuts.alias("b"), "cut").where(F.col("a.token") < F.col("b.token")).select(F.col("a.token").alias("token"), F.col("b.token").alias("other")).distinct()
 

@@ -71,3 +71,18 @@ def test_pairs_empty_and_long_names(spark):
     df = spark.createDataFrame([(1, "x" * 50_000 + " Robert", None, "", 0), (2, "Robert " + "x" * 50_000, None, "", 0)], KIND)
     assert [tuple(r) for r in names.same_pairs(df).collect()] == [(1, 2)]
     assert names.same_pairs(df.limit(0)).count() == 0
+
+
+def test_similar_tokens_of_every_length(spark):
+    import random
+
+    rng = random.Random(4)
+    near = []
+    for n in (5, 9, 63, 64, 65, 66, 200):
+        t = "".join(rng.choice("abcdefgh") for _ in range(n))
+        for _ in range(12):
+            i = rng.randrange(n - 1)
+            near.append((t, rng.choice([t[:i] + t[i + 1 :], t[:i] + "z" + t[i:], t[:i] + "z" + t[i + 1 :], t[:i] + t[i + 1] + t[i] + t[i + 2 :]])))
+    tokens = sorted({t for pair in near for t in pair if len(t) >= 5})
+    got = {tuple(r) for r in names.similar_tokens(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
+    assert got == {(a, b) for a in tokens for b in tokens if a != b and names.slips(a, b)}
