@@ -547,7 +547,7 @@ def geo_tags(spark, d):
     return places.geo_tags(places.gps(table(spark, d, "media_files")))
 
 
-@query(_GPS + ", c AS (SELECT DISTINCT city_id, latitude AS la, longitude AS lo FROM cities WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180), p AS (SELECT file_id, city_id, 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(la - lat) / 2), 2) + cos(radians(lat)) * cos(radians(la)) * pow(sin(radians(lo - lon) / 2), 2)))) AS km FROM l JOIN c ON la BETWEEN lat - 0.9 AND lat + 0.9), r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY km, city_id) AS n FROM p WHERE km <= 90) SELECT file_id, city_id, round(km, 6) AS km FROM r WHERE n = 1")
+@query(_GPS + ", c AS (SELECT DISTINCT city_id, latitude AS la, longitude AS lo FROM cities WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180), p AS (SELECT file_id, city_id, 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(la - lat) / 2), 2) + cos(radians(lat)) * cos(radians(la)) * pow(sin(radians(lo - lon) / 2), 2)))) AS km FROM l JOIN c ON la BETWEEN lat - 0.9 AND lat + 0.9), r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY km, city_id) AS n FROM p WHERE km <= 90) SELECT file_id, city_id, round(km, 6) AS km FROM r WHERE n = 1")
 def haversine_nearest(spark, d):
     g = places.gps(table(spark, d, "media_files")).select(F.col("file_id").alias("id"), "lat", "lon")
     found = places.nearest_place(g, places.places_of(table(spark, d, "cities")))
@@ -625,7 +625,7 @@ def alias_clusters(spark, d):
     return components(rows.select(F.col("l_suppkey").alias("a"), (F.lit(1_000_000) + F.col("l_partkey") % 400).alias("b")))
 
 
-@query("SELECT city_id, round(CASE WHEN ref = 'S' THEN -v ELSE v END, 7) AS decimal FROM (SELECT city_id, CASE WHEN latitude < 0 THEN 'S' ELSE 'N' END AS ref, floor(abs(latitude)) + floor(abs(latitude) * 60 % 60) / 60 + 30.0 / 3600 AS v FROM (SELECT DISTINCT city_id, latitude FROM cities WHERE latitude BETWEEN -90 AND 90))")
+@query("SELECT city_id, round(CASE WHEN ref = 'S' THEN -v ELSE v END, 7) AS decimal FROM (SELECT city_id, CASE WHEN latitude < 0 THEN 'S' ELSE 'N' END AS ref, floor(abs(latitude)) + floor(abs(latitude) * 60 % 60) / 60 + 30.0 / 3600 AS v FROM (SELECT DISTINCT city_id, latitude FROM cities WHERE latitude IS NOT NULL AND latitude BETWEEN -90 AND 90))")
 def gps_dms(spark, d):
     a = F.abs("latitude")
     c = table(spark, d, "cities").where("latitude between -90 and 90").select("city_id", "latitude").distinct()

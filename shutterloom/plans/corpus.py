@@ -60,7 +60,7 @@ SQL = {
 SELECT ancestor_id, descendant_id, distance FROM pairs WHERE distance > 0""",
     "p5_found": f"""
 WITH c AS (SELECT DISTINCT city_id AS id, latitude AS la, longitude AS lo FROM cities
-  WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT isnan(latitude) AND NOT isnan(longitude))
+  WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT isnan(latitude) AND NOT isnan(longitude))
 SELECT DISTINCT a.id AS city_id, CAST(b.id AS VARCHAR) AS other_key FROM c a JOIN c b
   ON a.id < b.id AND b.la BETWEEN a.la - 0.03 AND a.la + 0.03 WHERE {_KM} <= 3.0
 UNION ALL SELECT DISTINCT c.id, k.code FROM c JOIN countries k ON c.la BETWEEN k.bbox[2] AND k.bbox[4]
