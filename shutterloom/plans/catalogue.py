@@ -625,7 +625,7 @@ def alias_clusters(spark, d):
     return components(rows.select(F.col("l_suppkey").alias("a"), (F.lit(1_000_000) + F.col("l_partkey") % 400).alias("b")))
 
 
-@query("SELECT city_id, round(CASE WHEN ref = 'S' THEN -v ELSE v END, 7) AS decimal FROM (SELECT city_id, CASE WHEN latitude < 0 THEN 'S' ELSE 'N' END AS ref, floor(abs(latitude)) + floor(abs(latitude) * 60 % 60) / 60 + 30.0 / 3600 AS v FROM (SELECT DISTINCT city_id, latitude FROM cities WHERE latitude IS NOT NULL AND latitude BETWEEN -90 AND 90))")
+@query("SELECT city_id, round(CASE WHEN ref = 'S' THEN -v ELSE v END, 7) AS decimal FROM (SELECT city_id, CASE WHEN latitude < 0 THEN 'S' ELSE 'N' END AS ref, floor(abs(latitude)) + floor(abs(latitude) * 60 % 60) / 60 + 30.0 / 3600 AS v FROM (SELECT DISTINCT city_id, latitude FROM cities WHERE latitude BETWEEN -90 AND 90 AND CAST(latitude AS VARCHAR) <> 'nan'))")
 def gps_dms(spark, d):
     a = F.abs("latitude")
     c = table(spark, d, "cities").where("latitude between -90 and 90").select("city_id", "latitude").distinct()
