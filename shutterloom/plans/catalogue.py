@@ -437,7 +437,7 @@ def _channels(spark, d) -> dict[str, DataFrame]:
     }
 
 
-@query(_CHANNELS + "SELECT id, hits, round(raw / max(raw) OVER (), 9) AS score, CASE WHEN ocr IS NOT NULL AND clip IS NOT NULL THEN 'ocr+clip' WHEN clip IS NOT NULL AND shadow IS NOT NULL THEN 'clip+shadow' WHEN ocr IS NOT NULL THEN 'ocr' WHEN clip IS NOT NULL THEN 'clip' ELSE 'shadow' END AS reason FROM f")
+@query(_CHANNELS + "SELECT id, CAST(hits AS BIGINT) AS hits, round(raw / max(raw) OVER (), 9) AS score, CASE WHEN ocr IS NOT NULL AND clip IS NOT NULL THEN 'ocr+clip' WHEN clip IS NOT NULL AND shadow IS NOT NULL THEN 'clip+shadow' WHEN ocr IS NOT NULL THEN 'ocr' WHEN clip IS NOT NULL THEN 'clip' ELSE 'shadow' END AS reason FROM f")
 def rrf_fuse(spark, d):
     return ranking.fuse(_channels(spark, d), ranking.weights("mixed")).select("id", "hits", F.round("score", 9).alias("score"), "reason")
 
