@@ -2,7 +2,8 @@
 
 Tags are derived from media_files: the folder (auto_event), the kind (auto_object), the volume (place) and the suffix
 (custom). Faces and people are played by lineitem and supplier, vectors and their groups by embeddings, the search log
-by events. Every query runs over its whole tables.
+by events. Every query runs over its whole tables, except alias_clusters and resolve_labels: their SQL states a sample, and
+alias_clusters_all and resolve_labels_all do the whole job.
 """
 
 from __future__ import annotations
@@ -625,6 +626,13 @@ def alias_clusters(spark, d):
     return components(rows.select(F.col("l_suppkey").alias("a"), (F.lit(1_000_000) + F.col("l_partkey") % 400).alias("b")))
 
 
+@query()
+def alias_clusters_all(spark, d):
+    """Components over every supplier-part edge: suppliers are the even nodes, parts the odd ones, so keys never meet."""
+    rows = table(spark, d, "lineitem")
+    return components(rows.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
+
+
 @query("SELECT city_id, round(CASE WHEN ref = 'S' THEN -v ELSE v END, 7) AS decimal FROM (SELECT city_id, CASE WHEN latitude < 0 THEN 'S' ELSE 'N' END AS ref, floor(abs(latitude)) + floor(abs(latitude) * 60 % 60) / 60 + 30.0 / 3600 AS v FROM (SELECT DISTINCT city_id, latitude FROM cities WHERE latitude BETWEEN -90 AND 90 AND CAST(latitude AS VARCHAR) <> 'nan'))")
 def gps_dms(spark, d):
     a = F.abs("latitude")

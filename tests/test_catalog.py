@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shutterloom.functions import predicates as P
 from shutterloom.operators import boxes, catalog, ranking, text, vectors
+from shutterloom.plans import catalogue
 from shutterloom.plans.search import search, suggest
 from shutterloom.sources import listing
 from shutterloom.streaming.sync import ObservationSync
@@ -62,6 +63,37 @@ def test_missing_needs_a_whole_walk(spark):
     assert got == {"a": "thumb_done", "b": "missing", "c": "archived", "d": "metadata_done", "e": "excluded"}
 
 
+def _by_flooding(edges):
+    near, left, out = {}, set(), {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    left = set(near)
+    while left:
+        seen, todo = set(), [min(left)]
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += near[n]
+        out |= {n: min(seen) for n in seen}
+        left -= seen
+    return out
+
+
+def test_alias_clusters_take_every_edge(spark, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    rows = [(rng.randrange(41, 200), rng.randrange(60, 400), 1.0) for _ in range(120)]  # all outside the sample
+    rows += [(500, 1000 + i, 2.0) for i in range(300)] + [(600 + i, 5000 + i, 3.0) for i in range(40)] + [(601 + i, 5000 + i, 3.0) for i in range(40)]  # a hub and a chain
+    rows += [(n, n, 7.0) for n in range(900, 910)]  # equal keys of a supplier and a part
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalogue.QUERIES["alias_clusters_all"](spark, str(tmp_path)).collect()
+    assert {r.node: r.component for r in got} == _by_flooding([(2 * s, 2 * p + 1) for s, p, _ in rows])
+    assert len(got) == len({r.node for r in got})
+
+
 def test_greedy_boxes(spark):
     kind = "file_id long, id long, x double, y double, width double, height double"
     old = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 2.0, 0.0, 10.0, 10.0), (2, 1, 0.0, 0.0, 1.0, 1.0)], kind)
