@@ -198,6 +198,9 @@ def label_drift(labels: DataFrame, tags: DataFrame) -> DataFrame:
 def resolve_labels(people: DataFrame, merged: DataFrame, wanted: DataFrame) -> DataFrame:
     """(name, person_id): people by a name or alias, without case, followed to the visible person; null where new.
 
-    people: (id, label); merged: (id, root_id); wanted: (name)."""
-    known = people.select(F.lower(F.trim("label")).alias("_k"), "id").join(merged, "id", "left").select("_k", F.coalesce("root_id", "id").alias("to")).groupBy("_k").agg(F.min("to").alias("person_id"))
+    people: (id, label); merged: (id, root_id) of the people who were merged away; wanted: (name). A visible holder of the
+    label goes before merged ones, and among each the smallest id."""
+    holder = F.struct(F.col("root_id").isNotNull().alias("away"), F.col("id"), F.coalesce("root_id", "id").alias("to"))
+    known = people.select(F.lower(F.trim("label")).alias("_k"), "id").join(merged, "id", "left").groupBy("_k").agg(F.min(holder).alias("by"))
+    known = known.select("_k", F.col("by.to").alias("person_id"))
     return wanted.select("name").distinct().join(known, F.lower(F.trim("name")) == F.col("_k"), "left").select("name", "person_id")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shutterloom.functions import predicates as P
-from shutterloom.operators import boxes, catalog, places, ranking, text, vectors
+from shutterloom.operators import boxes, catalog, hierarchy, places, ranking, text, vectors
 from shutterloom.operators.components import components
 from shutterloom.operators.spatial import in_regions
 from shutterloom.plans import planner
@@ -729,6 +729,27 @@ def resolve_labels(spark, d):
     return found.withColumn("person_id", F.coalesce("person_id", F.lit(-1)))  # -1: to be created
 
 
+@query("""
+WITH RECURSIVE k AS (SELECT id, min(merged_into_id) AS up FROM people WHERE id IS NOT NULL GROUP BY 1),
+s AS (SELECT a.id, b.id AS up FROM k a JOIN k b ON a.up = b.id),
+r(id, top) AS (SELECT id, up FROM s UNION SELECT r.id, s.up FROM r JOIN s ON r.top = s.id),
+e AS (SELECT id, min(top) AS root FROM r WHERE top NOT IN (SELECT id FROM s) OR top IN (SELECT id FROM r WHERE id = top) GROUP BY 1),
+n AS (SELECT id, display_name AS name FROM people UNION SELECT id, unnest(CASE WHEN json_valid(aliases_json) AND json_type(aliases_json) = 'ARRAY' THEN CAST(aliases_json AS VARCHAR[]) ELSE [] END) FROM people),
+l AS (SELECT * FROM n WHERE trim(name) <> ''),
+h AS (SELECT lower(trim(name)) AS label, arg_min(coalesce(root, id), (up IS NOT NULL, id)) AS person_id FROM l JOIN k USING (id) LEFT JOIN e USING (id) GROUP BY 1)
+SELECT w.name, coalesce(h.person_id, -1) AS person_id FROM (SELECT DISTINCT name FROM l UNION SELECT 'nobody at all') w LEFT JOIN h ON lower(trim(w.name)) = h.label
+""")
+def resolve_labels_all(spark, d):
+    """Every display name and alias, followed through the merges; a cycle of merges stands for its smallest id."""
+    p = table(spark, d, "people")
+    own = F.coalesce(F.from_json("aliases_json", "array<string>"), F.array().cast("array<string>"))
+    labels = p.select("id", F.explode(F.array_append(own, F.col("display_name"))).alias("label")).where("trim(label) <> ''")
+    wanted = labels.select(F.col("label").alias("name")).unionByName(spark.createDataFrame([("nobody at all",)], "name string"))
+    merged = hierarchy.resolve(p, "id", "merged_into_id").where("linked").select("id", "root_id")
+    found = catalog.resolve_labels(labels.where("id is not null"), merged, wanted)
+    return found.withColumn("person_id", F.coalesce("person_id", F.lit(-1)))  # -1: to be created
+
+
 @query("SELECT file_id, CASE WHEN length(s) = 10 THEN CAST(strptime(s, '%Y:%m:%d') AS TIMESTAMP) ELSE CAST(strptime(s, '%Y:%m:%d %H:%M:%S') AS TIMESTAMP) END AS taken FROM (SELECT file_id, CASE WHEN size_bytes % 2 = 0 THEN strftime(exif_datetime, '%Y:%m:%d') ELSE strftime(exif_datetime, '%Y:%m:%d %H:%M:%S') END AS s FROM media_files)")
 def camera_times(spark, d):
     said = F.when(F.col("size_bytes") % 2 == 0, F.date_format("exif_datetime", "yyyy:MM:dd")).otherwise(F.date_format("exif_datetime", "yyyy:MM:dd HH:mm:ss"))

@@ -94,6 +94,20 @@ def test_alias_clusters_take_every_edge(spark, tmp_path):
     assert len(got) == len({r.node for r in got})
 
 
+def test_labels_are_followed_through_merges(spark, tmp_path):
+    rows = [
+        (1, "Anna", '["Annie", " ANN "]', 2), (2, "Berta", None, 4), (4, "Dora", "[]", None),  # a chain 1 -> 2 -> 4
+        (3, "anna ", "not json", None), (5, "Emil", '["Dora"]', 9), (9, "Fritz", '["Annie"]', 99),  # a visible namesake, a link that ends
+        (11, "Gerd", None, 12), (12, "Hans", None, 11), (13, None, '["Inge"]', 11), (14, "  ", '["", "Jo"]', None),  # a cycle
+    ]
+    spark.createDataFrame(rows, "id long, display_name string, aliases_json string, merged_into_id long").write.parquet(f"{tmp_path}/people.parquet")
+    got = {r.name: r.person_id for r in catalogue.QUERIES["resolve_labels_all"](spark, str(tmp_path)).collect()}
+    assert got == {
+        "Anna": 3, "anna ": 3, "Annie": 4, " ANN ": 4, "Berta": 4, "Dora": 4, "Emil": 9, "Fritz": 9,
+        "Gerd": 11, "Hans": 11, "Inge": 11, "Jo": 14, "nobody at all": -1,
+    }
+
+
 def test_greedy_boxes(spark):
     kind = "file_id long, id long, x double, y double, width double, height double"
     old = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 2.0, 0.0, 10.0, 10.0), (2, 1, 0.0, 0.0, 1.0, 1.0)], kind)
