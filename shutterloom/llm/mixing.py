@@ -7,8 +7,8 @@ that stands x tokens into its source's stream is needed when that demand reaches
 its training position; documents are then range-sorted by mix and position.
 
 The budget is the largest one at which every source with documents meets its share within its repeats, and no more than
-the mix's sources hold once; with ``total_tokens`` it is what the caller asks, and what capped sources cannot give goes
-to the others in proportion.
+the mix's sources hold once; with ``total_tokens`` it is what the caller asks, or with ``HELD`` all that the sources of
+each mix hold, and what capped sources cannot give goes to the others in proportion.
 
 Cumulative sizes within a source are two-level prefix sums (within hash ranges of bounded size, and over the ranges'
 sums), so a source of a third of all rows is many tasks.
@@ -39,6 +39,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 RANGE_ROWS = 20_000
 #: The strongest tilt of a schedule.
 TILT = 0.5
+#: As a budget: in each mix the tokens that its weighted sources hold once.
+HELD = "held"
 
 
 def source_key(col: Column) -> Column:
@@ -75,7 +77,7 @@ def clean_targets(targets: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.try_divide("weight", F.sum("weight").over(Window.partitionBy("mix_name"))))
 
 
-def plan(targets: DataFrame, held: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def plan(targets: DataFrame, held: DataFrame, total_tokens: int | str | None = None) -> DataFrame:
     """(mix_name, source, target, cap, tokens, docs, share, demand, tilt): what each source of each mix shall give.
 
     ``held`` has (source, tokens, docs) for the sources; both are small tables, one row for each source.
@@ -85,17 +87,18 @@ def plan(targets: DataFrame, held: DataFrame, total_tokens: int | None = None) -
     rows = rows.withColumn("room", F.when((F.col("tokens") == 0) | (F.col("cap") < 1), 0.0).when(F.col("cap").isNull(), float("inf")).otherwise(F.col("cap") * F.col("tokens")))
     rows = rows.withColumn("live", F.when(F.col("room") > 0, F.col("target")).otherwise(0.0))
     rows = rows.withColumn("share", F.coalesce(F.try_divide("live", F.sum("live").over(mix)), F.lit(0.0)))
+    once = F.sum(F.when(F.col("share") > 0, F.col("tokens"))).over(mix)
     if total_tokens is None:
         most = F.min(F.when(F.col("share") > 0, F.col("room") / F.col("share"))).over(mix)
-        once = F.sum(F.when(F.col("share") > 0, F.col("tokens"))).over(mix)
         rows = rows.withColumn("demand", F.col("share") * F.coalesce(F.least(most, once.cast("double")), F.lit(0.0)))
     else:
         # sources fill up in the order of room / share; the level that spends the budget lies between two of them
         order = Window.partitionBy("mix_name").orderBy("fills", "source")
         rows = rows.withColumn("fills", F.when(F.col("share") > 0, F.col("room") / F.col("share")).otherwise(0.0))
-        before = F.coalesce(F.sum(F.when(F.col("room") < float("inf"), F.col("room")).otherwise(0.0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        before = F.coalesce(F.sum(F.when((F.col("share") > 0) & (F.col("room") < float("inf")), F.col("room")).otherwise(0.0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         left = F.sum("share").over(order.rowsBetween(0, Window.unboundedFollowing))
-        rows = rows.withColumn("level", F.when(left > 0, (F.lit(float(total_tokens)) - before) / left))
+        rows = rows.withColumn("budget", once.cast("double") if total_tokens == HELD else F.lit(float(total_tokens)))
+        rows = rows.withColumn("level", F.when(left > 0, (F.col("budget") - before) / left))
         # the first source whose own filling point is not reached fixes the level for all after it
         rows = rows.withColumn("fixed", F.min(F.when((F.col("share") > 0) & (F.col("fills") >= F.col("level")), F.struct("fills", "level"))).over(mix))
         rows = rows.withColumn("demand", F.when(F.col("share") > 0, F.least("room", F.col("share") * F.coalesce(F.col("fixed.level"), F.lit(float("inf"))))).otherwise(0.0))
@@ -127,7 +130,7 @@ def _streams(sized: DataFrame, held: DataFrame) -> DataFrame:
     return part.join(sums, ["source", "range"]).select("doc_id", "source", "tokens", (F.col("base") + F.col("inner")).alias("upto"))
 
 
-def _prepared(documents: DataFrame, targets: DataFrame, total_tokens: int | None, vocabulary: str) -> tuple[DataFrame, DataFrame]:
+def _prepared(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None, vocabulary: str) -> tuple[DataFrame, DataFrame]:
     wanted = clean_targets(targets).select("source").distinct()
     keyed = documents.select("doc_id", "text", "source", source_key(F.col("source")).alias("key"))
     keyed = keyed.join(wanted.withColumnRenamed("source", "key"), "key", "left_semi")
@@ -147,14 +150,14 @@ def _select(streams: DataFrame, planned: DataFrame) -> DataFrame:
     return rows.select("mix_name", schedule_inverse(done, F.col("tilt")).alias("position"), "source", "doc_id", "copy", "tokens")
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """(mix_name, position, source, doc_id, copy, tokens): the selected copies, range-sorted by mix and position."""
     streams, planned = _prepared(documents, targets, total_tokens, vocabulary)
     chosen = _select(streams, planned)
     return chosen.repartitionByRange("mix_name", "position").sortWithinPartitions("mix_name", "position", "source", "doc_id", "copy")
 
 
-def report(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+def report(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each source of each mix: target and actual share, tokens held and selected, documents, repeats."""
     streams, planned = _prepared(documents, targets, total_tokens, vocabulary)
     got = _select(streams, planned).groupBy("mix_name", "source").agg(F.sum("tokens").alias("selected_tokens"), F.count("*").alias("selected_docs"), F.max("copy").alias("most_repeats"))

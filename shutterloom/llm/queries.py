@@ -50,11 +50,11 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), mixing.HELD)
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_targets"), mixing.HELD)
 
 
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:

@@ -51,6 +51,23 @@ def test_a_given_budget_fills_up_capped_sources(spark):
     assert abs(sum(r.selected_tokens for r in got.values()) / (3 * whole) - 1) < 0.02
 
 
+def test_registered_mixes_take_as_much_as_their_sources_hold(spark, tmp_path):
+    from shutterloom.llm import queries
+
+    extra = spark.createDataFrame([("m", "unweighted", 0.0, 5)], MIX)
+    targets(spark).unionByName(extra).write.parquet(f"{tmp_path}/mix_targets.parquet")
+    more = docs(spark).unionByName(spark.createDataFrame([(5000 + i, "not asked for " * 40, "unweighted", "c", 0) for i in range(40)], DOC))
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.source: r for r in queries.QUERIES["p8_report"](spark, str(tmp_path)).collect() if r.mix_name == "m"}
+    whole = sum(got[s].held_tokens for s in ("big-source", "small-source", "other"))
+    assert abs(sum(r.selected_tokens for r in got.values()) / whole - 1) < 0.02
+    assert got["unweighted"].selected_tokens == 0 < got["unweighted"].held_tokens
+    assert got["small-source"].most_repeats == 3 and got["small-source"].selected_tokens == 3 * got["small-source"].held_tokens
+    assert got["small-source"].actual_share < got["small-source"].target_share
+    mixed = [r for r in queries.QUERIES["p8_mix"](spark, str(tmp_path)).collect() if r.mix_name == "m"]
+    assert sum(r.tokens for r in mixed) == sum(r.selected_tokens for r in got.values())
+
+
 def test_ranges_give_the_same_streams(spark, monkeypatch):
     sized = mixing.with_tokens(docs(spark)).where("tokens > 0 and doc_id is not null")
     held = sized.groupBy("source").agg({"tokens": "sum", "*": "count"}).toDF("source", "a", "b")
