@@ -2,14 +2,17 @@
 
 1. Every display name and alias is normalised and parsed: accents, titles, remarks, order and separators are undone;
    placeholders, family roles and bare forenames name nobody. What is left is a core token (the family name, or the own
-   name of an organisation) and a companion (forename, initial, kind of organisation). Equal (core, companion) pairs
-   are one node, so a name that a third of all rows carry is one node.
+   name of an organisation) and a companion (forename, initial, kind of organisation), kept together with all words
+   of the name. Equal ones are one node, so a name that a third of all rows carry is one node.
 2. A symmetric-delete index over the distinct core tokens (and over unknown companions) proposes tokens at a small edit
    distance: tokens that share a remainder after deleting one letter. Such a group holds distinct tokens only, so its
-   size is bounded by token length times alphabet.
-3. Proposed nodes are verified by aligning their tokens: an optimal assignment in which tokens may be equal, differ by
-   one typing slip, be an initial, a nickname or an abbreviation of the other.
-4. Initials and ambiguous nicknames lead to a person only if they fit exactly one among those of that family name.
+   size is bounded by token length times alphabet. Nodes are proposed where both tokens are equal or similar; where
+   one has the two tokens alone, the others of equal tokens meet it instead of each other.
+3. Proposed nodes are verified by aligning all their words: an optimal assignment in which words may be equal, differ by
+   one typing slip, be an initial, a nickname, a beginning or an abbreviation of the other. A word of the shorter name
+   that stands for none of the other's (another middle name or initial) rejects the pair.
+4. Initials, ambiguous nicknames and beginnings of an unlisted forename (3 letters at least) lead to a person only if
+   their words align with exactly one among those of that family name.
 5. Connected components over the nodes, with a row's names joined to each other, give the entities.
 
 Defined results: null or blank names and null, empty or unreadable alias lists name nobody, but a plain name in place
@@ -23,6 +26,7 @@ import itertools
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -82,6 +86,10 @@ _LETTERS = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "đ": "d", "æ": "ae
 LONG_TOKEN = 64
 
 
+#: Largest cost a word of two names that align: an initial next to a slip, 0.6 over two words, is within.
+NEAR = 0.32
+
+
 def slips(a: str, b: str) -> bool:
     """At most one insertion, deletion, substitution or swap of neighbours between two tokens."""
     if a == b:
@@ -157,8 +165,9 @@ def _kind(token: str) -> str | None:
     return near[0] if len(near) == 1 else None
 
 
-def parse(name: str | None) -> list[tuple[str, str, str]]:
-    """(core, companion, sort) of a name; sort is full, unclear (several forenames), initial, acronym. Empty: nobody."""
+def parse(name: str | None) -> list[tuple[str, str, str, str]]:
+    """(core, companion, sort, words) of a name; sort is full, turned (the other order of two unlisted tokens), unclear
+    (several forenames), initial, acronym, org; words are all its tokens in alphabetical order. Empty: nobody."""
     if not name or _PLACEHOLDER.match(name.strip()):
         return []
     text = re.sub(r"([^\W\d_])(?<=[a-zß-ÿ])(?=[A-Z][a-z])", r"\1 ", name)  # words run together
@@ -176,12 +185,12 @@ def parse(name: str | None) -> list[tuple[str, str, str]]:
     kinds = [k for t in long if (k := _kind(t))]
     core = [t for t in long if not _kind(t)]
     if len(kinds) >= 2 and core:
-        return [("-".join(core), "+".join(sorted(kinds)), "org")]
+        return [("-".join(core), "+".join(sorted(kinds)), "org", _words([*core, *kinds]))]
     if len(core) == 1 and len(long) >= 1 and len(kinds) <= 1:  # an own name with an acronym of the kind stays below
         pass
     if len(long) == 2 and not kinds and any(2 <= len(t) <= 3 and not forenames_of(t) and re.fullmatch("[fcsgarbp]{2,3}", t) for t in long):
         short = min(long, key=len)
-        return [(max(long, key=len), short, "acronym")]
+        return [(max(long, key=len), short, "acronym", _words(named))]
     if not long:
         return []
     given = [t for t in long if forenames_of(t)]
@@ -189,7 +198,7 @@ def parse(name: str | None) -> list[tuple[str, str, str]]:
         initials = [t for t in named if len(t) == 1]
         if not initials or named[-1] == initials[-1] and forenames_of(long[0]) or len(long[0]) < 4:
             return []  # a bare name, or a forename with the initial of a family name
-        return [(part, initials[0], "initial") for part in _parts(long[0])]
+        return [(part, initials[0], "initial", _words(named)) for part in _parts(long[0])]
     if len(given) == len(long) or not given:  # the order decides; the other order is possible where nothing is known
         first, last = long[0], long[-1]
         orders = [(last, first)] if given else [(last, first), (first, last)]
@@ -199,10 +208,10 @@ def parse(name: str | None) -> list[tuple[str, str, str]]:
         rest = [t for t in long if t not in given] or [t for t in long if t != first]
         orders = [(rest[-1] if long[0] == first else rest[0], first)]
     out = []
-    for last, first in orders:
+    for turned, (last, first) in enumerate(orders):
         full = sorted(forenames_of(first))
-        comp, sort = (full[0], "full") if len(full) == 1 else (first, "unclear" if full else "full")
-        out += [(part, comp, sort) for part in _parts(last)]
+        comp, sort = (full[0], "full") if len(full) == 1 else (first, "unclear" if full else "turned" if turned else "full")
+        out += [(part, comp, sort, _words(named)) for part in _parts(last)]
     return out
 
 
@@ -210,6 +219,10 @@ def _parts(token: str) -> list[str]:
     return [p for p in token.split("-") if len(p) >= 3] or [token]
 
 
+def _words(tokens: list[str]) -> str:
+    return " ".join(sorted(p for t in tokens for p in t.split("-") if p))
+
+
 def _initial(companion: str, kinds: bool) -> str:
     return "".join(k[0] for k in companion.split("+")) if kinds else companion[0]
 
@@ -225,6 +238,8 @@ def token_cost(a: str, b: str) -> float:
     if forenames_of(a) & forenames_of(b):
         return 0.3
     short, long = sorted((a, b), key=len)
+    if len(short) >= 3 and long.startswith(short):
+        return 0.4
     if len(short) <= 4 and long.startswith(short[0]) and re.match(".*".join(map(re.escape, short)), long):
         return 0.4
     return 1.0
@@ -236,16 +251,33 @@ def align(a: list[str], b: list[str]) -> float:
         a, b = b, a
     if not a:
         return 1.0
-    best = [0.0] + [9.0 * len(a)] * ((1 << min(len(b), 8)) - 1)
-    for x in a[:8]:
-        nxt = [9.0 * len(a)] * len(best)
+    n = len(a)
+    if n > 8:  # equal words of long names first; with more than 8 others no pair is near
+        common = Counter(a) & Counter(b)
+        a, b = list((Counter(a) - common).elements()), list((Counter(b) - common).elements())
+        if len(a) > 8:
+            return 1.0
+    best = [0.0] + [9.0 * n] * ((1 << len(a)) - 1)  # by the words of ``a`` that have a partner
+    for y in b:
+        costs = [token_cost(x, y) for x in a]
+        nxt = best[:]
         for used, cost in enumerate(best):
-            if cost < 9:
-                for j, y in enumerate(b[:8]):
+            if cost < 9 * n:
+                for j, c in enumerate(costs):
                     if not used >> j & 1:
-                        nxt[used | 1 << j] = min(nxt[used | 1 << j], cost + token_cost(x, y))
+                        nxt[used | 1 << j] = min(nxt[used | 1 << j], cost + c)
         best = nxt
-    return min(best) / len(a)
+    return best[-1] / n
+
+
+def same_words(a: str, b: str, acronym: str | None = None) -> bool:
+    """Whether the words of two names align: each of the shorter name stands for one of the other's. ``acronym`` stands
+    for all kinds of organisation in ``b``."""
+    x, y = a.split(" "), b.split(" ")
+    if acronym is not None:
+        y = [t for t in y if not _kind(t)] + [acronym]
+    cost = align(x, y)
+    return cost <= NEAR and cost * min(len(x), len(y)) < 0.999  # a word without a partner costs 1
 
 
 def _aliases(text: str | None) -> list[str]:
@@ -261,8 +293,8 @@ def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for i, name, aliases in zip(b["id"], b["name"], b["aliases"]):
             for n in dict.fromkeys([name, *_aliases(aliases)]):
-                rows += [(i, c, g, s) for c, g, s in parse(n)]
-        yield pd.DataFrame(rows, columns=["id", "core", "companion", "sort"]).astype({"id": "int64"})
+                rows += [(i, *node) for node in parse(n)]
+        yield pd.DataFrame(rows, columns=["id", "core", "companion", "sort", "words"]).astype({"id": "int64"})
 
 
 def similar_tokens(tokens: DataFrame) -> DataFrame:
@@ -289,12 +321,12 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
-    """Pairs of nodes (core, companion, core2, companion2) whose tokens align."""
+    """Pairs of nodes (..., words, words2) whose words align."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [align([c, *g.split("+")], [d, *h.split("+")]) <= 0.25 for c, g, d, h in zip(b["core"], b["companion"], b["core2"], b["companion2"])]
-            yield b[ok]
+            acronyms = [g if s == "acronym" else None for g, s in zip(b["companion"], b["sort"])]
+            yield b[[same_words(x, y, g) for x, y, g in zip(b["words"], b["words2"], acronyms)]]
 
     return pairs.mapInPandas(check, pairs.schema)
 
@@ -302,53 +334,75 @@ def _aligned(pairs: DataFrame) -> DataFrame:
 def entities(people: DataFrame, id_col: str = "id", name_col: str = "display_name", alias_col: str = "aliases_json") -> DataFrame:
     """(id, entity): rows that name somebody, with the number of their entity."""
     rows = people.select(F.col(id_col).cast("long").alias("id"), F.col(name_col).cast("string").alias("name"), F.col(alias_col).cast("string").alias("aliases")).where("id is not null")
-    mentions = cut_lineage(rows.mapInPandas(_mentions, "id long, core string, companion string, sort string").distinct())
-    key = lambda c, g: F.xxhash64(F.col(c), F.col(g))
-    nodes = mentions.select("core", "companion", "sort").distinct()
+    mentions = cut_lineage(rows.mapInPandas(_mentions, "id long, core string, companion string, sort string, words string").distinct())
+    key = lambda c, g, w: F.xxhash64(F.col(c), F.col(g), F.col(w))
+    nodes = cut_lineage(mentions.select("core", "companion", "sort", "words").distinct())
     near = similar_tokens(nodes.select(F.col("core").alias("token")))
-    sure = nodes.where("sort in ('full', 'unclear', 'org')")
-    other = sure.select(F.col("core").alias("core2"), F.col("companion").alias("companion2"))
+    sure = nodes.where("sort in ('full', 'turned', 'unclear', 'org')")
+    renamed = lambda df: df.select(*[F.col(c).alias(c + "2") for c in ("core", "companion", "words")])
+    other = renamed(sure)
+    # the same core and companion among different words: all meet the two words alone, or else each other
+    spelled = nodes.select("core", "companion", "words").distinct().withColumn("n", F.size(F.split("words", " ")))
+    hub = spelled.groupBy("core", "companion").agg(F.count("*").alias("many"), F.min(F.struct("n", "words")).alias("hub")).where("many > 1")
+    spelled = spelled.withColumn("sort", F.lit("full")).join(hub, ["core", "companion"])
+    short = spelled.where("hub.n <= 2 and words <> hub.words").select("core", "companion", "sort", "words", F.col("core").alias("core2"), F.col("companion").alias("companion2"), F.col("hub.words").alias("words2"))
+    spelled = spelled.where("hub.n > 2")
+    each = spelled.join(renamed(spelled), (F.col("core") == F.col("core2")) & (F.col("companion") == F.col("companion2")) & (F.col("words") < F.col("words2")))
     # the same companion under a similar core
     typed = sure.join(near, F.col("core") == F.col("token")).where("core < other").join(other, (F.col("other") == F.col("core2")) & (F.col("companion") == F.col("companion2")))
-    # similar companions that no list explains, under the same core
-    unknown = nodes.where("sort = 'full'").select("companion").distinct()
+    # similar companions that no list explains, under the same core or a similar one
+    unknown = nodes.where("sort in ('full', 'turned')").select("companion").distinct()
     unknown = unknown.mapInPandas(lambda it: (b[[not forenames_of(x) for x in b["companion"]]] for b in it), "companion string")
     close = similar_tokens(unknown.select(F.col("companion").alias("token")))
-    slipped = sure.join(close, F.col("companion") == F.col("token")).where("companion < other").join(other, (F.col("core") == F.col("core2")) & (F.col("other") == F.col("companion2")))
-    cols = ["core", "companion", "core2", "companion2"]
-    links = _aligned(typed.select(*cols).unionByName(slipped.select(*cols)))
-    own = mentions.groupBy("id").agg(F.min(key("core", "companion")).alias("a"))  # a row's names belong together
-    joined = mentions.join(own, "id").select("a", key("core", "companion").alias("b"))
-    hard = cut_lineage(links.select(key("core", "companion").alias("a"), key("core2", "companion2").alias("b")).unionByName(joined).where("a <> b").distinct())
+    around = near.select(F.col("token").alias("here"), F.col("other").alias("there")).unionByName(sure.select(F.col("core").alias("here"), F.col("core").alias("there")).distinct())
+    slipped = sure.join(close, F.col("companion") == F.col("token")).where("companion < other").join(around, F.col("core") == F.col("here")).join(other, (F.col("there") == F.col("core2")) & (F.col("other") == F.col("companion2")))
+    cols = ["core", "companion", "sort", "words", "core2", "companion2", "words2"]
+    links = short.select(*cols)
+    for part in (each, typed, slipped):
+        links = links.unionByName(part.select(*cols))
+    links = _aligned(links)
+    own = mentions.groupBy("id").agg(F.min(key("core", "companion", "words")).alias("a"))  # a row's names belong together
+    joined = mentions.join(own, "id").select("a", key("core", "companion", "words").alias("b"))
+    hard = cut_lineage(links.select(key("core", "companion", "words").alias("a"), key("core2", "companion2", "words2").alias("b")).unionByName(joined).where("a <> b").distinct())
     whole = components(hard)
 
-    # initials, ambiguous short forms and acronyms: only where they fit exactly one of that core (or of similar cores)
-    doubtful = nodes.where("sort in ('initial', 'unclear', 'acronym')")
-    wide = doubtful.withColumn("look", F.col("core")).unionByName(doubtful.join(near, F.col("core") == F.col("token")).select("core", "companion", "sort", F.col("other").alias("look")))
+    # initials, ambiguous short forms, acronyms and beginnings: only where they fit exactly one of that core (or of similar cores)
+    doubtful = nodes.where("sort in ('initial', 'unclear', 'acronym', 'full')")
+    wide = doubtful.withColumn("look", F.col("core")).unionByName(doubtful.join(near, F.col("core") == F.col("token")).select("core", "companion", "sort", "words", F.col("other").alias("look")))
 
     def options(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for c, g, s, k in zip(b["core"], b["companion"], b["sort"], b["look"]):
-                wanted = sorted(forenames_of(g)) if s == "unclear" else ["=" + g]
-                out += [(c, g, k, w) for w in wanted]
-            yield pd.DataFrame(out, columns=["core", "companion", "look", "want"])
+            for c, g, s, w, k in zip(b["core"], b["companion"], b["sort"], b["words"], b["look"]):
+                if s == "full":
+                    wanted = ["^" + g] if 3 <= len(g) <= LONG_TOKEN and not forenames_of(g) else []
+                else:
+                    wanted = sorted(forenames_of(g)) if s == "unclear" else ["=" + g]
+                out += [(c, g, s, w, k, x) for x in wanted]
+            yield pd.DataFrame(out, columns=["core", "companion", "sort", "words", "look", "want"])
 
     def offers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for c, g, s in zip(b["core"], b["companion"], b["sort"]):
-                out += [(c, g, w) for w in ({"=" + "".join(p) for p in itertools.permutations(k[0] for k in g.split("+"))} if s == "org" and g.count("+") < 4 else {g, "=" + g[0]} if s == "full" else ())]
-            yield pd.DataFrame(out, columns=["core2", "companion2", "want"])
-
-    asked = wide.mapInPandas(options, "core string, companion string, look string, want string")
-    offered = sure.mapInPandas(offers, "core2 string, companion2 string, want string").withColumn("b", key("core2", "companion2"))
-    met = asked.join(offered, (F.col("look") == F.col("core2")) & (asked["want"] == offered["want"]))
+            for c, g, s, w in zip(b["core"], b["companion"], b["sort"], b["words"]):
+                if s == "org" and g.count("+") < 4:
+                    given = {"=" + "".join(p) for p in itertools.permutations(k[0] for k in g.split("+"))}
+                else:
+                    given = {g, "=" + g[0]} if s in ("full", "turned") else set()
+                if s == "full":
+                    given |= {"^" + g[:n] for n in range(3, min(len(g) - 1, LONG_TOKEN + 1))}
+                out += [(c, g, w, x) for x in given]
+            yield pd.DataFrame(out, columns=["core2", "companion2", "words2", "offer"])
+
+    asked = wide.mapInPandas(options, "core string, companion string, sort string, words string, look string, want string")
+    offered = sure.mapInPandas(offers, "core2 string, companion2 string, words2 string, offer string")
+    met = asked.join(offered, (F.col("look") == F.col("core2")) & (F.col("want") == F.col("offer"))).select(*cols).distinct()
+    met = _aligned(met).withColumn("b", key("core2", "companion2", "words2"))
     met = met.join(whole, F.col("b") == F.col("node"), "left").withColumn("to", F.coalesce("component", "b"))
-    mine = met.withColumn("a", key("core", "companion")).where("a <> b")
+    mine = met.withColumn("a", key("core", "companion", "words")).where("a <> b")
     soft = mine.groupBy("a").agg(F.min("to").alias("b"), F.max("to").alias("top")).where(F.col("b") == F.col("top")).select("a", "b")
     final = components(hard.unionByName(soft))
-    placed = mentions.select("id", key("core", "companion").alias("at")).join(final, F.col("at") == F.col("node"), "left")
+    placed = mentions.select("id", key("core", "companion", "words").alias("at")).join(final, F.col("at") == F.col("node"), "left")
     return placed.groupBy("id").agg(F.min(F.coalesce("component", "at")).alias("entity"))
 
 

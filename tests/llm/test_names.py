@@ -62,6 +62,27 @@ def test_doubtful_initials_stay_alone(spark):
     assert groups(spark, rows) == [[1], [2], [3]]
 
 
+def test_all_words_of_a_name_are_aligned(spark):
+    rows = [
+        (1, "Giovanni Wendelgrad", None), (2, "Gio Wendelgrad", None),  # a beginning that no list has
+        (3, "Robert James Dorlenkamp", None), (4, "Robert J. Dorlenkamp", None), (5, "Robert Karl Dorlenkamp", None),  # another middle name
+        (6, "Fiorenzo Talbervinck", None), (7, "Fiorenz Talbervink", None),  # a slip in both
+        (8, "Fiorella Talbervinck", None),
+    ]
+    assert groups(spark, rows) == [[1, 2], [3, 4], [5], [6, 7], [8]]
+
+
+def test_doubtful_beginnings_stay_alone(spark):
+    rows = [(1, "Giovanni Wendelgrad", None), (2, "Giordano Wendelgrad", None), (3, "Gio Wendelgrad", None), (4, "Gio Wendel", None)]
+    assert groups(spark, rows) == [[1], [2], [3], [4]]
+
+
+def test_alignment_of_many_words():
+    many = "abel bruno cesar dario enzo fabio guido hugo italo".split()
+    assert names.align(many, [*reversed(many), "luca"]) == 0.0
+    assert names.same_words(" ".join(many), " ".join([*many[:-1], "luca"])) is False
+
+
 def test_organisations(spark):
     rows = [(1, "Melgundhaven Football Club", None), (2, "The Melgundhaven Footbal Club", None), (3, "Football Club Melgundhaven", None), (4, "Melgundhaven FC", None), (5, "Melgundhaven Chamber Choir", None), (6, "Ch. Choir of Melgundhaven", None)]
     assert groups(spark, rows) == [[1, 2, 3, 4], [5, 6]]
