@@ -1,10 +1,10 @@
 """Held-out test items that leak, whole or in part, into training documents.
 
 Items form a BM25 inverted index whose impacts are divided by the item's score for its own words, so one threshold
-serves items of every length. Every passage of every document (overlapping windows over the whole text) is a query:
+serves items of every length; items longer than ``PART`` words are indexed in overlapping parts. Every passage of every document (overlapping windows over the whole text) is a query:
 a bound from the largest impact of each term skips hopeless passages, and block-max WAND retrieves all items above the
-threshold. Retrieved items are verified against the text: their own words must be met in order and close together, by
-count and by weight.
+threshold. Retrieved items are verified against the text around the passage, over a stretch that grows with the item:
+their own words must be met in order and close together, by count and by weight.
 
 Before that, text is brought to plain words: markup and escapes are undone, characters that look alike are mapped,
 invisible ones removed, quoting and line breaks ignored, and single-character slips matched through folds and deletes.
@@ -36,6 +36,8 @@ RETRIEVE = 0.33
 COUNT_SHARE = 0.5
 WEIGHT_SHARE = 0.4
 WINDOW, STRIDE = 256, 128
+#: Longest run of an item's words that is retrieved as one: some window holds any such run whole.
+PART = 128
 K1, B = 1.2, 0.75
 #: Blocks of the index at most; each holds eight items or more.
 BLOCKS = 64
@@ -103,18 +105,20 @@ class ItemIndex:
         self.ids = [i for i, _ in kept]
         self.vocab = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in kept for w in ws))}
         self.seq = [np.array([self.vocab[w] for w in ws], np.int32) for _, ws in kept]
-        n, mean = max(1, len(kept)), np.mean([len(s) for s in self.seq]) if kept else 1.0
+        parts = [(d, s[k : k + PART]) for d, s in enumerate(self.seq) for k in range(0, max(1, len(s) - PART // 2), PART // 2)]
+        self.item = [d for d, _ in parts]  # the item of each part
+        n, mean = max(1, len(kept)), np.mean([len(s) for _, s in parts]) if kept else 1.0
         df = Counter(int(t) for s in self.seq for t in set(s.tolist()))
         self.idf = np.array([math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in range(len(self.vocab))] + [0.0])
         post: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for d, s in enumerate(self.seq):
+        for d, (_, s) in enumerate(parts):
             tf = Counter(s.tolist())
             imp = {t: self.idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(s) / mean)) for t, f in tf.items()}
             whole = sum(imp.values())
             for t, x in imp.items():
                 post[t].append((d, x / whole))
-        size = max(8, math.ceil(n / BLOCKS))  # items in one block
-        self.most = np.zeros((len(self.vocab) + 1, math.ceil(n / size)))  # largest impact of a term in each block
+        size = max(8, math.ceil(len(parts) / BLOCKS))  # parts in one block
+        self.most = np.zeros((len(self.vocab) + 1, max(1, math.ceil(len(parts) / size))))  # largest impact of a term in each block
         self.post: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in range(self.most.shape[1])]
         for t, p in post.items():
             for d, x in p:
@@ -159,10 +163,10 @@ class ItemIndex:
         return k
 
     def wand(self, terms: np.ndarray, threshold: float) -> list[int]:
-        """Items whose normalised BM25 for the query ``terms`` reaches ``threshold``: block-max WAND.
+        """Parts of items whose normalised BM25 for the query ``terms`` reaches ``threshold``: block-max WAND.
 
         Blocks whose summed maxima stay below the threshold are passed over as a whole; within the others the lists are
-        walked item by item, from pivot to pivot.
+        walked part by part, from pivot to pivot.
         """
         out = []
         for block in np.nonzero(self.most[terms].sum(axis=0) >= threshold)[0]:
@@ -216,11 +220,16 @@ class ItemIndex:
         """(item id, count share, weight share) of the items that ``text`` carries."""
         terms = np.fromiter((self.term(w) for w in words(text)), np.int32)
         found: dict[int, tuple[float, float]] = {}
+        seen: dict[int, int] = {}  # where an item was verified last
         for start in range(0, max(1, len(terms) - WINDOW + STRIDE), STRIDE):
             asked = np.unique(terms[start : start + WINDOW])
             asked = asked[asked >= 0]
-            for item in self.wand(asked, RETRIEVE) if len(asked) else ():
-                near = terms[max(0, start - WINDOW) : start + 2 * WINDOW]
+            for item in sorted({self.item[k] for k in self.wand(asked, RETRIEVE)} if len(asked) else ()):
+                n = len(self.seq[item])
+                if item in seen and start < seen[item] + n // 3:
+                    continue  # the stretch verified there holds what a stretch from here could
+                seen[item], around = start, max(WINDOW, 2 * n)
+                near = terms[max(0, start - around) : start + WINDOW + around]
                 found[item] = max(found.get(item, (0.0, 0.0)), self.shares(near, item))
         return [(self.ids[i], c, w) for i, (c, w) in found.items() if c >= COUNT_SHARE and w >= WEIGHT_SHARE]
 

@@ -21,6 +21,21 @@ def found(spark, docs):
     return sorted((r.doc_id, r.item_id) for r in leakage.find(d, e).collect())
 
 
+def test_items_of_every_length():
+    rng = random.Random(9)
+    letters = "bcdfghklmnprstvz"
+    vocabulary = ["".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(3)) for _ in range(4000)]
+    long = {n: [rng.choice(vocabulary) for _ in range(n)] for n in (100, 129, 200, 400, 1000, 2500)}
+    index = leakage.ItemIndex([(n, " ".join(w)) for n, w in long.items()])
+    fill = FILL * 40
+    for n, w in long.items():
+        assert [x[0] for x in index.leaks(fill + " ".join(w) + " " + fill)] == [n]
+        assert [x[0] for x in index.leaks(fill + " ".join(w[n // 3 : n // 3 + int(0.6 * n)]) + " " + fill)] == [n]  # a part
+        assert [x[0] for x in index.leaks(fill + " ".join(x for k, x in enumerate(w) if k % 3) + " " + fill)] == [n]  # thinned out
+        assert index.leaks(fill + " ".join(w[: int(0.3 * n)]) + " " + fill) == []
+        assert index.leaks(fill + " ".join(rng.sample(w, n)) + " " + fill) == []  # out of order
+
+
 def test_layouts_and_encodings(spark):
     t = item(3)
     w = t.split()
