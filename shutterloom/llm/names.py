@@ -6,7 +6,8 @@
    of the name. Equal ones are one node, so a name that a third of all rows carry is one node.
 2. A symmetric-delete index over the distinct core tokens (and over unknown companions) proposes tokens at a small edit
    distance: tokens that share a remainder after deleting one letter. Such a group holds distinct tokens only, so its
-   size is bounded by token length times alphabet. Nodes are proposed where both tokens are equal or similar; where
+   size is bounded by token length times alphabet. Tokens count from 3 letters; between two of 3 letters only equality
+   does, as most such names (Kim, Lim) are a letter apart. Nodes are proposed where both tokens are equal or similar; where
    one has the two tokens alone, the others of equal tokens meet it instead of each other.
 3. Proposed nodes are verified by aligning all their words: an optimal assignment in which words may be equal, differ by
    one typing slip, be an initial, a nickname, a beginning or an abbreviation of the other. A word of the shorter name
@@ -303,7 +304,7 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     Its size is the square of a token's length, so tokens longer than ``LONG_TOKEN`` are indexed by their halves: one
     slip leaves one half as it is. Tokens of exactly that length are in both, to meet neighbours on either side.
     """
-    cuts = tokens.select("token").distinct().where(F.length("token") >= 5).withColumn("n", F.length("token"))
+    cuts = tokens.select("token").distinct().where(F.length("token") >= 3).withColumn("n", F.length("token"))
     one_less = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.col("n"))))
     # a slip leaves the first or the last half of a long token alone, up to the letter at the middle
     halves = F.flatten(F.transform(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1), lambda m: F.array(F.md5(F.concat(F.lit("<"), m, F.substring("token", F.lit(1), F.floor(m / 2).cast("int") - 1))), F.md5(F.concat(F.lit(">"), m, F.substring("token", F.col("n") - F.floor(m / 2).cast("int") + 2, F.col("n")))))))

@@ -72,6 +72,11 @@ def test_all_words_of_a_name_are_aligned(spark):
     assert groups(spark, rows) == [[1, 2], [3, 4], [5], [6, 7], [8]]
 
 
+def test_slips_in_short_tokens(spark):
+    rows = [(1, "Robert Smith", None), (2, "Robert Smth", None), (3, "Alice Kern", None), (4, "Alice Kenr", None), (5, "Timo Wendelgrad", None), (6, "Tiom Wendelgrad", None), (7, "Robert Voss", None), (8, "Robert Vogt", None), (9, "Alice Voss", None), (10, "Robert Kim", None), (11, "Robert Lim", None), (12, "Thomas Berg", None), (13, "Thomas Beg", None)]
+    assert groups(spark, rows) == [[1, 2], [3, 4], [5, 6], [7], [8], [9], [10], [11], [12, 13]]
+
+
 def test_doubtful_beginnings_stay_alone(spark):
     rows = [(1, "Giovanni Wendelgrad", None), (2, "Giordano Wendelgrad", None), (3, "Gio Wendelgrad", None), (4, "Gio Wendel", None)]
     assert groups(spark, rows) == [[1], [2], [3], [4]]
