@@ -40,12 +40,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items"), answer_col="answer").select("doc_id", "item_id")
 
 
 def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     """For each test item that leaked: in how many documents, and the largest share of its words carried."""
-    found = leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    found = leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items"), answer_col="answer")
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("word_share"), 6).alias("largest_share"))
 
 
