@@ -15,7 +15,7 @@ def groups(spark, rows):
 
 @pytest.mark.parametrize("name", ["", "   ", None, "Person 12", "인물 7", "unnamed", "Unknown", "Uncle Bob", "the birthday kid", "Kate", "Priscilla D.", "me", "person-000012", "?!"])
 def test_nobody(name):
-    assert names.parse(name) == []
+    assert names.Lexicon().parse(name) == []
 
 
 @pytest.mark.parametrize("a, b", [("abcd", "abd"), ("abd", "abcd"), ("abcd", "abxd"), ("abcd", "abdc"), ("a", "a"), ("abcd", "xabcd")])
@@ -29,10 +29,10 @@ def test_more_than_one_slip(a, b):
 
 
 def test_alignment():
-    assert names.align(["smith", "robert"], ["bob", "smith"]) < 0.2
-    assert names.align(["smith", "r"], ["robert", "smith"]) <= 0.2
-    assert names.align(["smith", "robert"], ["smith", "alice"]) >= 0.5
-    assert names.align([], ["x"]) == 1.0
+    assert names.Lexicon().align(["smith", "robert"], ["bob", "smith"]) < 0.2
+    assert names.Lexicon().align(["smith", "r"], ["robert", "smith"]) <= 0.2
+    assert names.Lexicon().align(["smith", "robert"], ["smith", "alice"]) >= 0.5
+    assert names.Lexicon().align([], ["x"]) == 1.0
 
 
 def test_variants_of_one_person_and_namesakes(spark):
@@ -84,8 +84,8 @@ def test_doubtful_beginnings_stay_alone(spark):
 
 def test_alignment_of_many_words():
     many = "abel bruno cesar dario enzo fabio guido hugo italo".split()
-    assert names.align(many, [*reversed(many), "luca"]) == 0.0
-    assert names.same_words(" ".join(many), " ".join([*many[:-1], "luca"])) is False
+    assert names.Lexicon().align(many, [*reversed(many), "luca"]) == 0.0
+    assert names.Lexicon().same_words(" ".join(many), " ".join([*many[:-1], "luca"])) is False
 
 
 def test_organisations(spark):
@@ -112,3 +112,23 @@ def test_similar_tokens_of_every_length(spark):
     tokens = sorted({t for pair in near for t in pair if len(t) >= 5})
     got = {tuple(r) for r in names.similar_tokens(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
     assert got == {(a, b) for a in tokens for b in tokens if a != b and names.slips(a, b)}
+
+
+def test_names_no_list_has(spark):
+    rows = [
+        (1, "Priya Natarajan", None), (2, "Priscilla Natarajan", None), (3, "Natarajan, Priya", None),
+        (4, "Mia Kern", None), (5, "Mia Kren", None),
+        (6, "Mary Ann van der Berg", None), (7, "Mary van der Berg", None), (8, "Ann van der Graaf", None),
+        (9, "김민준", None), (10, "김 민준", None), (11, "김민중", None), (12, "민준", None), (13, "엄마", None),
+        (14, "Acme Ltd", None), (15, "ACME Limited", None), (16, "Acme Inc", None),
+        (17, "Tom Wolf", None), (18, "Tom Wolff", None), (19, "Tom Park", None), (20, "Tom Prak", None),
+    ]
+    assert groups(spark, rows) == [[1, 3], [2], [4, 5], [6, 7], [8], [9, 10], [11], [14, 15], [16], [17, 18], [19, 20]]
+
+
+def test_a_lexicon_of_ones_own(spark):
+    rows = [(1, "Giuseppe Wendelgrad", None), (2, "Beppe Wendelgrad", None), (3, "Capo Wendelgrad", None)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], KIND)
+    assert names.same_pairs(df).count() == 0
+    known = names.Lexicon(short={"giuseppe": "beppe peppe"}, roles=["capo"])
+    assert [tuple(r) for r in names.same_pairs(df, known).collect()] == [(1, 2)]
