@@ -2,9 +2,10 @@
 
 1. Usable vectors (the asked length, finite, not all zero, one per id) are scaled to length 1; exact copies become one
    point with its smallest ids, so a vector that a third of all rows share is one node.
-2. Shard centres are fitted by spherical k-means on a bounded sample (``CENTRE_SAMPLE``). Every point is stored in its
-   ``copies`` nearest shards and asked in its ``probes`` nearest (or in all). Shards that come out too large are split
-   at random and asked in every part, so none grows with the data.
+2. Shard centres are fitted by spherical k-means on a bounded sample (``CENTRE_SAMPLE``), one for about ``shard_rows``
+   points. Every point is stored in its nearest shard and in those about as near (``COPY_WITHIN``), and asked in those
+   a little farther as well (``PROBE_WITHIN``), or in all. Shards that come out too large get centres of their own from
+   a sample of their points; what no centre can part is split at random and asked in every part.
 3. In a shard, points enter a directed graph in growing batches: a greedy beam search over the graph so far proposes
    neighbours, and robust pruning with a relaxed distance keeps diverse edges; reverse edges are added and pruned
    alike. Queries are answered by beam search, and the similarities of what it finds are computed in double precision.
@@ -22,23 +23,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterloom.session import cut_lineage
 
-#: Points of the sample on which shard centres are fitted; every point is then stored and asked.
-CENTRE_SAMPLE = 20_000
-#: Points aimed at in a shard before copies, and the most shards (the centres are sent to the tasks).
+#: Points of the sample on which shard centres are fitted (eight a shard, at least the first number of points); every
+#: point is then stored and asked.
+CENTRE_SAMPLE = (20_000, 131_072)
+#: Points aimed at in a shard before copies, and the most shards (the centres are sent to the tasks: 512 bytes each).
+#: Beyond their product, 32 million points, shards grow with the table: a graph is searched in logarithmic time.
 SHARD_ROWS = 2_000
-MAX_SHARDS = 8_192
+MAX_SHARDS = 16_384
+#: Relative squared distance, against that to the nearest centre, up to which a point is also stored, and asked.
+COPY_WITHIN, PROBE_WITHIN = 0.08, 0.14
+#: Rounds in which shards that come out too large are parted by centres of their own.
+REFINE = 2
 _SEED = 7
 
 
 class Graph:
     """A robust-pruned directed graph over unit vectors, built and asked in batches of numpy arrays."""
 
-    def __init__(self, points: np.ndarray, degree: int = 24, beam: int = 48, alpha: float = 1.2) -> None:
+    def __init__(self, points: np.ndarray, degree: int = 24, beam: int = 32, alpha: float = 1.2) -> None:
         self.x = np.ascontiguousarray(points, np.float32)
         self.n, self.degree, self.beam, self.alpha = len(points), degree, beam, alpha
         self.edges = np.full((self.n, degree), -1, np.int32)
@@ -122,15 +129,17 @@ class Graph:
         self.edges[nodes] = out
         self.count[nodes] = (out >= 0).sum(axis=1)
 
-    def _walk(self, q: np.ndarray, beam: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy beam search of many queries at once: (ids, similarities), best first, -1 where there are fewer."""
+    def _walk(self, q: np.ndarray, beam: int, width: int = 4, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy beam search of many queries at once: (ids, similarities), best first, -1 where there are fewer. ``start``
+        has the node a query begins at, -1 for the entry point of the graph."""
         m = len(q)
+        first = np.full(m, self.start) if start is None else np.where(start < 0, self.start, start)
         ids = np.full((m, beam), -1, np.int32)
         sim = np.full((m, beam), -9, np.float32)
         open_ = np.zeros((m, beam), bool)
-        ids[:, 0], sim[:, 0], open_[:, 0] = self.start, q @ self.x[self.start], True
+        ids[:, 0], sim[:, 0], open_[:, 0] = first, np.einsum("nd,nd->n", q, self.x[first]), True
         seen = np.zeros((m, self.n + 1), bool)
-        seen[:, self.start] = seen[:, self.n] = True
+        seen[:, self.n] = seen[np.arange(m), first] = True
         live = np.arange(m)
         while len(live):
             rank = np.argsort(~open_[live], axis=1, kind="stable")[:, :width]
@@ -156,12 +165,14 @@ class Graph:
             live = live[open_[live].any(axis=1)]
         return ids, sim
 
-    def ask(self, q: np.ndarray, k: int, beam: int, block: int = 512) -> np.ndarray:
-        """Ids of the ``k`` best of a beam search for each query, -1 where there are fewer."""
+    def ask(self, q: np.ndarray, k: int, beam: int, start: np.ndarray | None = None, cells: int = 8_000_000) -> np.ndarray:
+        """Ids of the ``k`` best of a beam search for each query, -1 where there are fewer; blocks of queries are as large
+        as ``cells`` marks of visited nodes allow."""
         q = np.ascontiguousarray(q, np.float32)
+        block = max(16, min(256, cells // max(1, self.n)))
         out = np.full((len(q), k), -1, np.int32)
         for s in range(0, len(q) if self.n else 0, block):
-            ids = self._walk(q[s : s + block], max(beam, k))[0][:, :k]
+            ids = self._walk(q[s : s + block], max(beam, k), start=None if start is None else start[s : s + block])[0][:, :k]
             out[s : s + block, : ids.shape[1]] = ids
         return out
 
@@ -205,6 +216,20 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
 
 
+def _near_shards(vectors: np.ndarray, c: np.ndarray, most: int, within: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the vector, shard): the nearest centre of each and those up to ``within`` farther, at most ``most``
+    (a geometric bound on copies; with None for ``within`` exactly that many)."""
+    out_i, out_s = [], []
+    for at in range(0, len(vectors), max(64, 4_000_000 // len(c))):
+        far = 2 - 2 * (vectors[at : at + max(64, 4_000_000 // len(c))] @ c.T)
+        near = np.argpartition(far, most - 1, axis=1)[:, :most] if most < len(c) else np.broadcast_to(np.arange(len(c)), far.shape)
+        far = np.take_along_axis(far, near, 1)
+        i, j = np.nonzero(np.ones_like(far, bool) if within is None else far <= (1 + within) * far.min(axis=1, keepdims=True) + 1e-12)
+        out_i.append(at + i)
+        out_s.append(near[i, j])
+    return np.concatenate(out_i), np.concatenate(out_s)
+
+
 def top_similar(
     rows: DataFrame,
     id_col: str,
@@ -213,67 +238,95 @@ def top_similar(
     length: int = 64,
     min_similarity: float | None = None,
     only: str | None = None,
-    probes: int | None = 4,
-    copies: int = 2,
-    beam: int = 40,
+    probes: int | None = 8,
+    copies: int = 5,
+    beam: int = 32,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """(id, neighbour_id, similarity, place): the k most similar other vectors of each, places from 1.
 
     ``min_similarity`` leaves out less similar ones, ``only`` is a condition on ``id`` for the rows that ask (all are
-    answered from), ``probes`` the number of shards asked, None for all.
+    answered from), ``copies`` and ``probes`` the most shards a point is stored and asked in, None for asking all.
     """
-    points = cut_lineage(usable(rows, id_col, vector_col, length))
-    by_vector = Window.partitionBy("vec").orderBy("id")
-    members = cut_lineage(
-        points.withColumn("nth", F.row_number().over(by_vector)).where(F.col("nth") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        .select(F.col("ids")[0].alias("node"), "ids", "vec")
-    )
+    keyed = usable(rows, id_col, vector_col, length).withColumn("mark", F.sha2("vec", 256))  # one vector, one mark
+    of_vector = keyed.groupBy("mark").agg(F.min("id").alias("node"), F.first("vec").alias("vec"))
+    points = cut_lineage(keyed.select("id", "mark"))
+    by_vector = Window.partitionBy("mark").orderBy("id")
+    groups = points.withColumn("nth", F.row_number().over(by_vector)).where(F.col("nth") <= k + 1).groupBy("mark").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    groups = cut_lineage(groups.select("mark", F.col("ids")[0].alias("node"), "ids"))
+    members = cut_lineage(of_vector.select("node", "vec"))
     n = members.count()
-    taken = members.select("vec").orderBy(F.xxhash64("vec")).limit(CENTRE_SAMPLE).toPandas()
     if not n:
         return points.select("id", F.col("id").alias("neighbour_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("place")).limit(0)
-    shards = max(1, min(MAX_SHARDS, len(taken) // 8, math.ceil(n / shard_rows)))
-    c = centres(_matrix(taken["vec"]), shards)
-    probe, copy = shards if probes is None else min(probes, shards), min(copies, shards)
+    wanted = max(1, min(MAX_SHARDS, math.ceil(n / shard_rows)))
+    size = max(CENTRE_SAMPLE[0], min(CENTRE_SAMPLE[1], 8 * wanted))
+    taken = _matrix(members.select("vec").orderBy(F.xxhash64("vec")).limit(size).toPandas()["vec"])
+    c = centres(taken, max(1, min(wanted, len(taken) // 8)))
+    aim = max(shard_rows, math.ceil(n / len(c)))
 
-    asking = members.select("node", "vec")  # a copy asks through its group's node
+    asking = members  # a copy asks through its group's node
     if only is not None:
-        asking = points.where(only).select("vec").distinct().join(members, "vec").select("node", "vec")
+        asking = points.where(only).select("mark").distinct().join(groups, "mark").select("node").join(members, "node")
 
-    def place(batches: Iterator[pd.DataFrame], deep: int, ask: bool) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pd.DataFrame], c: np.ndarray, hold: bool, ask: bool) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                s = _matrix(b["vec"]) @ c.T
-                near = np.argpartition(-s, deep - 1, axis=1)[:, :deep] if deep < shards else np.broadcast_to(np.arange(shards), s.shape)
-                i = np.repeat(np.arange(len(b)), deep)
-                yield pd.DataFrame({"shard": near.ravel().astype(np.int64), "ask": ask, "node": b["node"].to_numpy()[i], "vec": b["vec"].to_numpy()[i]})
-
-    kind = "shard long, ask boolean, node long, vec binary"
-    held = members.select("node", "vec").mapInPandas(lambda it: place(it, copy, False), kind)
-    asked = asking.mapInPandas(lambda it: place(it, probe, True), kind)
-    # shards that came out too large: (parts of the points) x (parts of the questions); at most a row for each shard
-    most = 4 * max(copy, probe if only is None else 1) * shard_rows
-    crowd = {(r.shard, r.ask): math.ceil(r.n / most) for r in held.unionByName(asked).groupBy("shard", "ask").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()}
-
-    def parts(ask: bool) -> Column:
-        own = {s: n for (s, a), n in crowd.items() if a is ask}
-        return F.coalesce(F.create_map(*[F.lit(x) for kv in own.items() for x in kv])[F.col("shard")], F.lit(1)) if own else F.lit(1)
-
-    def split(df: DataFrame, ask: bool) -> DataFrame:
-        names = ("q_part", "p_part") if ask else ("p_part", "q_part")
-        df = df.withColumn(names[0], F.pmod(F.xxhash64("node"), parts(ask)).cast("int"))
-        return df.withColumn(names[1], F.explode(F.sequence(F.lit(0), (parts(not ask) - 1).cast("int"))))
-
-    held, asked = split(held, False), split(asked, True)
+                x, nodes, vecs = _matrix(b["vec"]), b["node"].to_numpy(), b["vec"].to_numpy()
+                hi, hs = _near_shards(x, c, min(copies, len(c)), COPY_WITHIN) if hold else (np.empty(0, int),) * 2
+                ai, as_ = _near_shards(x, c, len(c) if probes is None else min(probes, len(c)), None if probes is None else PROBE_WITHIN) if ask else (np.empty(0, int),) * 2
+                both, at = np.unique(np.concatenate([hi * len(c) + hs, ai * len(c) + as_]), return_inverse=True)
+                held, asked = np.zeros(len(both), bool), np.zeros(len(both), bool)
+                held[at[: len(hi)]] = True
+                asked[at[len(hi) :]] = True
+                yield pd.DataFrame({"shard": both % len(c), "held": held, "ask": asked, "node": nodes[both // len(c)], "vec": vecs[both // len(c)]})
+
+    kind = "shard long, held boolean, ask boolean, node long, vec binary"
+
+    def spread(c: np.ndarray) -> DataFrame:
+        if only is None:
+            return members.mapInPandas(lambda it: place(it, c, True, True), kind)
+        return members.mapInPandas(lambda it: place(it, c, True, False), kind).unionByName(asking.mapInPandas(lambda it: place(it, c, False, True), kind))
+
+    most = 8 * aim
+    for round_ in range(REFINE + 1):
+        # at most a row for each shard
+        counts = {r.shard: (r.h, r.a) for r in spread(c).groupBy("shard").agg(F.count_if("held").alias("h"), F.count_if("ask").alias("a")).where((F.col("h") > most) | (F.col("a") > most)).collect()}
+        full = [s for s, (h, _) in counts.items() if h > most]
+        room = MAX_SHARDS - len(c)
+        if not full or round_ == REFINE or room < len(full):
+            break
+        # centres of their own for crowded shards, from a bounded sample of each
+        parts = {s: min(math.ceil(counts[s][0] / aim), max(2, room // len(full)), CENTRE_SAMPLE[1] // (8 * len(full))) for s in full}
+        each = max(16, CENTRE_SAMPLE[1] // len(full))
+        nth = Window.partitionBy("shard").orderBy(F.xxhash64("node"))
+        some = spread(c).where(F.col("held") & F.col("shard").isin(full)).withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= each).select("shard", "vec").toPandas()
+        own = [centres(x, min(parts[s], max(1, len(x) // 8))) for s, x in ((s, _matrix(g["vec"])) for s, g in some.groupby("shard"))]
+        c = np.concatenate([np.delete(c, full, axis=0), *own])
+
+    # what no centre parts: (parts of the points) x (larger parts of the questions, so that graphs are built few times)
+    def split(df: DataFrame) -> DataFrame:
+        crowd = {s: (math.ceil(h / most), math.ceil(a / (8 * most))) for s, (h, a) in counts.items()}
+        crowd = {s: v for s, v in crowd.items() if v > (1, 1) or v[1] > 1}
+        if not crowd:
+            return df.withColumn("p_part", F.lit(0)).withColumn("q_part", F.lit(0))
+        number = lambda at: F.coalesce(F.create_map(*[F.lit(x) for s, v in crowd.items() for x in (s, v[at])])[F.col("shard")], F.lit(1))
+        own = lambda at: F.pmod(F.xxhash64("node"), number(at)).cast("int")
+        every = lambda at: F.explode(F.sequence(F.lit(0), (number(at) - 1).cast("int")))
+        held = df.where("held").withColumn("ask", F.lit(False)).withColumn("p_part", own(0)).withColumn("q_part", every(1))
+        asked = df.where("ask").withColumn("held", F.lit(False)).withColumn("q_part", own(1)).withColumn("p_part", every(0))
+        few = ~F.col("shard").isin(list(crowd))
+        whole = df.where(few).withColumn("p_part", F.lit(0)).withColumn("q_part", F.lit(0))
+        return whole.unionByName(held.where(~few)).unionByName(asked.where(~few))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"node": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        data, queries = group[~group["ask"]], group[group["ask"]]
-        if not len(data) or not len(queries):
+        held, ask = group["held"].to_numpy(), group["ask"].to_numpy()
+        if not held.any() or not ask.any():
             return empty
-        x, q = _matrix(data["vec"]), _matrix(queries["vec"])
-        best = Graph(x).ask(q, min(2 * (k + 1), len(x)), beam)  # more than asked: double precision decides among them
+        nodes, vectors = group["node"].to_numpy(), _matrix(group["vec"])
+        data, queries, x, q = nodes[held], nodes[ask], vectors[held], vectors[ask]
+        start = np.where(held, np.cumsum(held) - 1, -1)[ask]  # a point that is stored here begins at its own node
+        best = Graph(x).ask(q, min(2 * (k + 1), len(x)), beam, start)  # more than asked: double precision decides among them
         out = []
         for s in range(0, len(q), 4096):
             i, j = np.nonzero(best[s : s + 4096] >= 0)
@@ -283,20 +336,19 @@ def top_similar(
             order = np.lexsort((-sim, i))
             first = np.searchsorted(i[order], i[order])
             keep[order[np.arange(len(order)) - first > k]] = False
-            out.append(pd.DataFrame({"node": queries["node"].to_numpy()[s + i][keep], "other": data["node"].to_numpy()[t][keep], "similarity": sim[keep]}))
+            out.append(pd.DataFrame({"node": queries[s + i][keep], "other": data[t][keep], "similarity": sim[keep]}))
         return pd.concat(out)
 
-    met = held.unionByName(asked).groupBy("shard", "p_part", "q_part").applyInPandas(search, "node long, other long, similarity double")
+    met = split(spread(c)).groupBy("shard", "p_part", "q_part").applyInPandas(search, "node long, other long, similarity double")
     met = met.groupBy("node", "other").agg(F.max("similarity").alias("similarity"))
     # every node meets itself, so that copies of one vector meet each other
     met = met.where("node <> other").unionByName(asking.select("node", F.col("node").alias("other"), F.lit(1.0).alias("similarity")))
     nodes = Window.partitionBy("node").orderBy(F.desc("similarity"), "other")
     met = met.withColumn("nth", F.row_number().over(nodes)).where(F.col("nth") <= k + 1).drop("nth")
-    ids = members.select(F.col("node").alias("other"), "ids")
-    spread = met.join(ids, "other").select("node", "similarity", F.explode("ids").alias("neighbour_id"))
+    met = met.join(groups.select(F.col("node").alias("other"), "ids"), "other").select("node", "similarity", F.explode("ids").alias("neighbour_id"))
     ranked = Window.partitionBy("node").orderBy(F.desc("similarity"), "neighbour_id")
-    best = spread.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= k + 1).drop("nth")
-    own = points.join(members.select("vec", "node"), "vec").select("id", "node")
+    best = met.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= k + 1).drop("nth")
+    own = points.join(groups.select("mark", "node"), "mark").select("id", "node")
     if only is not None:
         own = own.where(only)
     answers = own.join(best, "node").where(F.col("id") != F.col("neighbour_id"))
