@@ -4,8 +4,9 @@ A digest is brought to one notation (lower-case hexadecimal) whatever it was wri
 four 16-bit numbers, are a point under the Manhattan metric. The pivot table stores each point's distances to three
 fixed pivots. By the triangle inequality two points at most r apart have pivot distances at most r apart, so candidates
 come from joins on ranges of these distances (of width 1 when r is 0); the true distance and, for digests, agreement
-over the whole length written by both, are then verified. Accepting records means appending their rows to the table:
-the history is never read again as a whole to be re-encoded.
+over the whole length written by both, are then verified. The table is kept as files parted by kind and by ranges of the
+first pivot distance: a batch reads the ranges that its own records can reach, and accepting it means appending its
+rows. The history is encoded once, when it is accepted.
 
 Defined results: digests that are null, blank, placeholders (words, one repeated character) or shorter than 16
 hexadecimal digits denote nothing; sizes that are null or not positive match nothing; repeated rows and repeated
@@ -15,13 +16,21 @@ empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterloom.session import cut_lineage, remove, shared_folder
+
 PIVOTS = 3
 MIN_DIGITS = 16
+#: Ranges of the first pivot distance, which is 262,140 at most, by which the store's files are parted.
+BANDS = 32
+BAND_WIDTH = -(-4 * 65_536 // BANDS)
 
 
 def digest_hex(col: Column) -> Column:
@@ -58,8 +67,8 @@ def agree(a: Column, b: Column) -> Column:
 def candidates(probe: DataFrame, table: DataFrame, same: list[str], radius: int = 0, how: str = "inner", verify: bool = True) -> DataFrame:
     """Rows of ``probe`` joined with rows of ``table`` whose points are at most ``radius`` apart.
 
-    Columns of ``table`` come with the prefix ``h_``. ``same`` names columns that must be equal. The join key is the
-    range of the first pivot distance; with radius 0 the ranges of all pivots are single values and all are keys.
+    Columns of ``table`` come with the prefix ``h_``. ``same`` names columns that must be equal. The join keys are the
+    ranges of two pivot distances; with radius 0 the ranges of all pivots are single values and all are keys.
     """
     held = table.select(*[F.col(c).alias(f"h_{c}") for c in table.columns])
     on = [F.col(c) == F.col(f"h_{c}") for c in same]
@@ -67,19 +76,17 @@ def candidates(probe: DataFrame, table: DataFrame, same: list[str], radius: int
         on += [F.col(f"d{i}") == F.col(f"h_d{i}") for i in range(PIVOTS)]
     else:
         width = 2 * radius + 1
-        low, high = F.floor((F.col("d0") - radius) / width), F.floor((F.col("d0") + radius) / width)
-        probe = probe.withColumn("_range", F.explode(F.array_distinct(F.array(low, high))))
-        held = held.withColumn("h_range", F.floor(F.col("h_d0") / width))
-        on += [F.col("_range") == F.col("h_range")]
+        for i in range(2):
+            low, high = F.floor((F.col(f"d{i}") - radius) / width), F.floor((F.col(f"d{i}") + radius) / width)
+            probe = probe.withColumn(f"_range{i}", F.explode(F.array_distinct(F.array(low, high))))
+            held = held.withColumn(f"h_range{i}", F.floor(F.col(f"h_d{i}") / width))
+            on += [F.col(f"_range{i}") == F.col(f"h_range{i}")]
         on += [F.abs(F.col(f"d{i}") - F.col(f"h_d{i}")) <= radius for i in range(PIVOTS)]
     on.append(sum((F.abs(F.col(f"w{k}") - F.col(f"h_w{k}")) for k in range(4)), F.lit(0)) <= radius)
     if verify:
         on.append(agree(F.col("digest"), F.col("h_digest")))
-    met = on[0]
-    for c in on[1:]:
-        met = met & c
-    out = probe.join(held, met, how)
-    return out.drop("_range", "h_range") if radius else out
+    out = probe.join(held, functools.reduce(operator.and_, on), how)
+    return out.drop("_range0", "_range1", "h_range0", "h_range1") if radius else out
 
 
 def digest_rows(rows: DataFrame, *keep: Column) -> DataFrame:
@@ -97,41 +104,80 @@ def history_table(rows: DataFrame) -> DataFrame:
     return with_pivots(digest_rows(rows).distinct())
 
 
+_STORED = "digest string, size long, w0 int, w1 int, w2 int, w3 int, d0 int, d1 int, d2 int, kind string, band int"
+
+
 class PivotStore:
-    """The pivot table kept as files, in ranges of the first pivot distance, to which each batch only appends."""
+    """The pivot table kept as files, parted by kind and range of the first pivot distance, to which batches only append."""
 
-    def __init__(self, spark, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def append(self, rows: DataFrame, ranges: int = 16) -> None:
-        history_table(rows).repartitionByRange(ranges, "d0").sortWithinPartitions("d0").write.mode("append").parquet(self.path)
-
-    def repeated(self, batch: DataFrame, id_col: str) -> DataFrame:
-        """Distinct ids of the rows in ``batch`` that repeat a record of the store."""
-        asked = with_pivots(digest_rows(batch, F.col(id_col)))
-        held = self.spark.read.parquet(self.path)
-        return candidates(asked, held, ["kind", "size"], how="left_semi").select(id_col).distinct()
+    def append(self, rows: DataFrame) -> None:
+        """Encode the records of an accepted batch and add them."""
+        table = history_table(rows).withColumn("band", F.floor(F.col("d0") / BAND_WIDTH).cast("int"))
+        table.repartition("kind", "band").sortWithinPartitions("kind", "band", "d0").write.mode("append").partitionBy("kind", "band").parquet(self.path)
+
+    def read(self, asked: DataFrame, radius: int = 0) -> DataFrame:
+        """The store's rows in the ranges that ``asked`` (kind, d0) can reach: partitions that no record of the batch
+        reaches are not opened."""
+        held = self.spark.read.schema(_STORED).parquet(self.path)
+        low, high = F.floor((F.col("d0") - radius) / BAND_WIDTH), F.floor((F.col("d0") + radius) / BAND_WIDTH)
+        reach = asked.select("kind", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("band")).distinct()
+        bands: dict[str, list[int]] = {}
+        for r in reach.collect():  # at most two kinds of ``BANDS`` ranges
+            bands.setdefault(r.kind, []).append(r.band)
+        hit = [(F.col("kind") == k) & F.col("band").isin(sorted(b)) for k, b in sorted(bands.items())]
+        return held.where(functools.reduce(operator.or_, hit, F.lit(False))).drop("band")
+
+    def repeated(self, batch: DataFrame, order: list[str], radius: int = 0) -> DataFrame:
+        """Distinct ``order`` values of the rows in ``batch`` that repeat a record of the store, or a row of the batch with
+        smaller ``order`` values, found or not. With a radius, points that near count, whatever their later digits.
+
+        Every distinct digest is first reduced to its earliest record, so a digest that a third of all rows carry is one
+        row when it is matched.
+        """
+        ord_ = F.struct(*order)
+        asked = digest_rows(batch, ord_.alias("ord"))
+        first = with_pivots(asked.groupBy("kind", "digest", "size").agg(F.min("ord").alias("first")))
+        verify = radius == 0
+        old = candidates(first, self.read(first, radius), ["kind", "size"], radius, "left_semi", verify).select("kind", "digest", "size", F.lit(True).alias("old"), F.lit(None).cast(first.schema["first"].dataType).alias("earliest"))
+        new = candidates(first, first, ["kind", "size"], radius, verify=verify).select("kind", "digest", "size", F.lit(False).alias("old"), F.col("h_first").alias("earliest"))
+        known = old.unionByName(new).groupBy("kind", "digest", "size").agg(F.max("old").alias("old"), F.min("earliest").alias("earliest"))
+        hit = asked.join(known, ["kind", "digest", "size"]).where(F.col("old") | (F.col("earliest") < F.col("ord")))
+        return hit.select("ord.*").distinct()
+
+
+def temporary_store(spark: SparkSession, history: DataFrame) -> PivotStore:
+    """A store of ``history`` in the shared folder; ``remove`` takes its path away."""
+    store = PivotStore(spark, f"{shared_folder(spark)}/shutterloom/pivots-{uuid.uuid4().hex}")
+    store.append(history)
+    return store
+
+
+def _placed(incoming: DataFrame) -> DataFrame:
+    rows = incoming.where("batch_no is not null and incoming_id is not null")
+    return rows.withColumn("batch_no", F.col("batch_no").cast("int")).withColumn("incoming_id", F.col("incoming_id").cast("long"))
 
 
-def repeats(incoming: DataFrame, history: DataFrame) -> DataFrame:
+def repeats(incoming: DataFrame, history: DataFrame, radius: int = 0) -> DataFrame:
     """(batch_no, incoming_id) of the incoming rows that repeat a row of ``history`` or an incoming row with a smaller
-    (batch_no, incoming_id), found or not.
-
-    Every distinct digest is first reduced to its earliest record, so a digest that a third of all rows carry is one
-    row when it is matched.
-    """
-    rows = incoming.where("batch_no is not null and incoming_id is not null")
-    order = F.struct(F.col("batch_no").cast("int").alias("b"), F.col("incoming_id").cast("long").alias("i")).alias("ord")
-    asked = digest_rows(rows, order)
-    first = with_pivots(asked.groupBy("kind", "digest", "size").agg(F.min("ord").alias("first")))
-    old = candidates(first, history_table(history), ["kind", "size"], how="left_semi").select(
-        "kind", "digest", "size", F.struct(F.lit(-(2**31)).cast("int").alias("b"), F.lit(0).cast("long").alias("i")).alias("earliest")
-    )
-    new = candidates(first, first, ["kind", "size"]).select("kind", "digest", "size", F.col("h_first").alias("earliest"))
-    earliest = old.unionByName(new).groupBy("kind", "digest", "size").agg(F.min("earliest").alias("earliest"))
-    return (
-        asked.join(earliest, ["kind", "digest", "size"])
-        .where(F.col("earliest") < F.col("ord"))
-        .select(F.col("ord.b").alias("batch_no"), F.col("ord.i").alias("incoming_id"))
-        .distinct()
-    )
+    (batch_no, incoming_id), found or not: all waiting batches at once, against a store of the history."""
+    store = temporary_store(incoming.sparkSession, history)
+    found = cut_lineage(store.repeated(_placed(incoming), ["batch_no", "incoming_id"], radius))
+    remove(incoming.sparkSession, store.path)
+    return found
+
+
+def accept(incoming: DataFrame, store: PivotStore) -> DataFrame:
+    """(batch_no, incoming_id) of the rows of each batch that repeat the store or an earlier row; batches are worked and
+    appended in their order, and only the ranges a batch reaches are read."""
+    rows = _placed(incoming)
+    batches = sorted(r.batch_no for r in rows.select("batch_no").distinct().collect())  # the batches that wait
+    found = None
+    for n in batches:
+        batch = rows.where(F.col("batch_no") == n)
+        part = cut_lineage(store.repeated(batch, ["batch_no", "incoming_id"]))
+        store.append(batch)
+        found = part if found is None else found.unionByName(part)
+    return rows.select("batch_no", "incoming_id").limit(0) if found is None else found

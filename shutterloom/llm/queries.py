@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterloom.llm import glyphs, history, leakage, mixing, names, neighbours, readability
+from shutterloom.session import remove
 from shutterloom.sources.tables import table
 
 
@@ -39,6 +40,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return history.repeats(table(spark, d, "incoming_media"), table(spark, d, "media_files"))
 
 
+def p6_by_batch(spark: SparkSession, d: str) -> DataFrame:
+    """For each batch in order, worked against the store of all before it and appended: how many of its rows are known."""
+    store = history.temporary_store(spark, table(spark, d, "media_files"))
+    found = history.accept(table(spark, d, "incoming_media"), store)
+    remove(spark, store.path)
+    return found.groupBy("batch_no").agg(F.count("*").alias("known"))
+
+
+def p6_near(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose digest starts within 500 of an earlier record's, as four 16-bit numbers under the Manhattan metric."""
+    return history.repeats(table(spark, d, "incoming_media"), table(spark, d, "media_files"), radius=500)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items"), answer_col="answer").select("doc_id", "item_id")
 
@@ -78,16 +92,20 @@ def _hex_sql(column: str) -> str:
     return f"list_transform([{found}], lambda h: CASE WHEN replace(h, h[1], '') <> '' THEN h END)[1]"
 
 
-_P6 = f"""
+_P6_KEYS = f"""
 WITH rows_in AS (SELECT batch_no, incoming_id, size_bytes, content_hash, partial_hash FROM incoming_media
     WHERE batch_no IS NOT NULL AND incoming_id IS NOT NULL AND size_bytes > 0
   UNION SELECT -2147483648, 0, size_bytes, content_hash, partial_hash FROM media_files WHERE size_bytes > 0),
 keys AS (SELECT batch_no, incoming_id, 'content' AS kind, 0 AS size, {_hex_sql("content_hash")} AS h FROM rows_in
   UNION SELECT batch_no, incoming_id, 'partial', size_bytes, {_hex_sql("partial_hash")} FROM rows_in)
-SELECT DISTINCT a.batch_no, a.incoming_id FROM keys a JOIN keys b ON a.kind = b.kind AND a.size = b.size
-  AND a.h[1:16] = b.h[1:16] AND (starts_with(a.h, b.h) OR starts_with(b.h, a.h))
-WHERE a.batch_no > -2147483648 AND (b.batch_no < a.batch_no OR b.batch_no = a.batch_no AND b.incoming_id < a.incoming_id)
 """
+_EARLIER = "a.batch_no > -2147483648 AND (b.batch_no < a.batch_no OR b.batch_no = a.batch_no AND b.incoming_id < a.incoming_id)"
+_P6 = f"""SELECT DISTINCT a.batch_no, a.incoming_id FROM keys a JOIN keys b ON a.kind = b.kind AND a.size = b.size
+  AND a.h[1:16] = b.h[1:16] AND (starts_with(a.h, b.h) OR starts_with(b.h, a.h)) WHERE {_EARLIER}"""
+_WORDS = ", ".join(f"CAST('0x' || h[{4 * k + 1}:{4 * k + 4}] AS INTEGER) AS w{k}" for k in range(4))
+_P6_NEAR = f""", points AS (SELECT *, {_WORDS} FROM keys WHERE h IS NOT NULL)
+SELECT DISTINCT a.batch_no, a.incoming_id FROM points a JOIN points b ON a.kind = b.kind AND a.size = b.size AND b.w0 BETWEEN a.w0 - 500 AND a.w0 + 500
+WHERE {" + ".join(f"abs(a.w{k} - b.w{k})" for k in range(4))} <= 500 AND {_EARLIER}"""
 
 _P4 = f"""
 WITH o AS (SELECT id, current_path AS p, {glyphs.form_sql("current_path")} AS form FROM scan_observations WHERE current_path IS NOT NULL),
@@ -111,6 +129,8 @@ QUERIES = {
     "p2_entities": p2_entities,
     "p4_found": p4_found,
     "p6_found": p6_found,
+    "p6_by_batch": p6_by_batch,
+    "p6_near": p6_near,
     "p7_found": p7_found,
     "p7_leaked_items": p7_leaked_items,
     "p8_mix": p8_mix,
@@ -124,5 +144,7 @@ SQL = {
     "p1_topk": _P1.format(only="WHERE a.id % 100 = 0")
     + "SELECT id AS person_id, other AS neighbour_id, round(s, 6) AS similarity, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 10",
     "p4_found": _P4,
-    "p6_found": _P6,
+    "p6_found": _P6_KEYS + _P6,
+    "p6_by_batch": _P6_KEYS + f"SELECT batch_no, count(*) AS known FROM ({_P6}) GROUP BY 1",
+    "p6_near": _P6_KEYS + _P6_NEAR,
 }

@@ -60,13 +60,34 @@ def test_empty_tables(spark):
 
 def test_store_grows_batch_by_batch(spark, tmp_path):
     store = history.PivotStore(spark, str(tmp_path / "table"))
-    store.append(old(spark), ranges=2)
-    found = []
-    for b in (1, 2, 3):
-        batch = rows(spark).where(F.col("batch_no") == b)
-        found += [(b, r.incoming_id) for r in store.repeated(batch, "incoming_id").collect()]
-        store.append(batch, ranges=2)
-    assert sorted(found) == [(1, 1), (2, 1), (2, 4), (3, 1)]  # no batch here repeats itself
+    store.append(old(spark))
+    got = sorted(tuple(r) for r in history.accept(rows(spark), store).collect())
+    assert got == [(1, 1), (2, 1), (2, 4), (3, 1)]
+    assert history.accept(rows(spark).limit(0), store).count() == 0
+    held = spark.read.parquet(store.path)
+    assert held.count() > held.select("kind", "digest", "size").distinct().count()  # what two batches brought is there twice
+
+
+def test_only_ranges_in_reach_are_read(spark, tmp_path):
+    store = history.PivotStore(spark, str(tmp_path / "table"))
+    many = spark.createDataFrame([(5, hashlib.sha256(str(i).encode()).hexdigest(), None, 1) for i in range(400)], OLD)
+    store.append(many)
+    one = history.with_pivots(history.digest_rows(many.limit(1)))
+    got = store.read(one)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "band" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert got.select(F.input_file_name()).distinct().count() == 1 < len(spark.read.parquet(store.path).inputFiles())
+    assert history.candidates(one, got, ["kind", "size"]).count() == 1
+    assert store.read(one, radius=3 * history.BAND_WIDTH).select(F.input_file_name()).distinct().count() > 1
+
+
+def test_near_digests_count_within_a_radius(spark):
+    at = lambda *w: "".join(f"{x:04x}" for x in w) + "0" * 47 + "1"
+    past = spark.createDataFrame([(5, at(100, 200, 300, 400), None, 1)], OLD)
+    new = spark.createDataFrame([(1, i, 5, at(100 + d, 200, 300 - d, 400), None, "c", 0) for i, d in enumerate((0, 1, 2, 3))], KIND)
+    assert sorted(r.incoming_id for r in history.repeats(new.where("incoming_id in (2, 3)"), past, radius=4).collect()) == [2, 3]
+    assert sorted(r.incoming_id for r in history.repeats(new.where("incoming_id = 3"), past, radius=4).collect()) == []
+    assert sorted(r.incoming_id for r in history.repeats(new.where("incoming_id < 3"), past).collect()) == [0]
 
 
 def test_radius_finds_near_points_like_brute_force(spark):
