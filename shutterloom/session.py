@@ -68,9 +68,14 @@ def release(df: DataFrame) -> None:
     """Delete the files of a table that ``cut_lineage`` wrote, once nothing will read it any more."""
     _, path = _written.pop(id(df), (None, None))
     if path:
-        sc = df.sparkSession.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:
