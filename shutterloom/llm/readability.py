@@ -1,7 +1,8 @@
 """Reading level of documents from classic readability formulas.
 
 Sentences, words, letters, syllables and long words are counted with syllable rules in the manner of hyphenation for
-each language (vowel groups, mute endings, one syllable for each Hangul block). Several formulas turn them into grade estimates; each is put on the scale of the human grades by a straight line
+each language: a syllable is a group of vowels, patterns say where a break parts neighbouring vowels (muse-um, cre-ate,
+po-ète) and which endings are mute, and each Hangul block is a syllable. Several formulas turn them into grade estimates; each is put on the scale of the human grades by a straight line
 per language, fitted on a bounded sample of labelled documents, and their median is the reading level.
 
 Defined results: documents without a letter (null, blank, digits only) have a null grade; rows with a null id are left
@@ -24,35 +25,82 @@ from shutterloom.session import cut_lineage, release
 
 #: Labelled documents on which the lines are fitted at most, and those a language needs for lines of its own.
 CALIBRATION_DOCS = 50_000
-CALIBRATION_LEAST = 30
+CALIBRATION_LEAST = 12
 #: Grades by which a label may be off the first line.
 OUTLIER = 4.0
 LANGUAGES = ("en", "de", "fr", "ko")
 # Frequent short words that tell the languages apart.
 _COMMON = {
-    "en": "the and of to is was in that it with for on this we my are",
-    "de": "der die das und ist nicht ein eine wir den im zu von mit sich wird",
-    "fr": "le la les des et est une un du nous dans que pour au il sur",
+    "en": "the and of to is was in that it with for on this we my are he she they you not but from have had were at by as be his her or our their there which when what all one out so up if into then some would could been has who more",
+    "de": "der die das und ist nicht ein eine wir den im zu von mit sich wird auf für als dem des es auch sie er ich war sind bei aus nach wie hat noch nur oder aber über einen einer zum zur dass wenn man so um am bis ihre sein",
+    "fr": "le la les des et est une un du nous dans que pour au il sur qui ne pas se ce plus par avec je vous elle sont aux mais ou cette son sa ses ils tout leur deux comme été où très sans même après être fait était",
 }
-_VOWEL = "aeiouyäöüàâéèêëîïôùûœæ"
+_VOWEL = "aeiouyäöüàâáéèêëîïíôóùûúœæ"
 _CONSONANT = "bcdfghjklmnpqrstvwxzßçñ"
+#: Breaks between neighbouring vowels, written like hyphenation patterns: a digit stands between two letters, the largest
+#: digit of all patterns that fit decides, odd is a break, even is none; a full stop is the edge of the word.
+_PATTERNS = {
+    "en": "i1a i1o i1u ti2a ti2o si2o si2a ci2a ci2o ci2u gi2o gi2a xi2o xi2u lli2o ni2o i2age i1et i1ent i1ence ci2en ti2en .sci3e"
+    " u1a qu2a gu2a e1um e1us. cre1a ide1a are1a e1o. e1os. e1or e1og e1ous re1ali e1ing y1ing o1ing a1o u1ou u1ity u1el. o1em o1et"
+    " i1er. i1est. pi2er. ti2er. u1in. ue2",
+    "de": "i1o i1a i1u i1ö e1um e1us. e1a e1o u1e u1a u1o u1ö u1ä qu2e qu2a qu2o qu2ä ei1e o1e o1a a1o y1a y1e",
+    "fr": "é1a é1â é1e é1i é1o é1u o1è o1é a1é a1ï o1ï a1ë o1ë u1é qu2é gu2é qu2è gu2è a1o a2oû cri1e bri1e pri1e tri1e vri1e gri1e pli1e bli1e",
+}
+_SIBILANT = ("s", "z", "x", "c", "g", "ch", "sh")
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _STOP = re.compile(r"[.!?…。！？]+[\"'”’)\]]*(?:\s|$)|\n\s*(?=[A-ZÀ-ÖØ-Þ\d])")
-_TAG = re.compile(r"<[A-Za-z/!][^<>]{0,300}>|&#?\w{1,8};")
+_TAG = re.compile(r"<[A-Za-z/!][^<>]*>|&#?\w{1,8};")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _HANGUL = re.compile("[가-힣]")
 _GROUP = re.compile(f"[{_VOWEL}]+")
-_MUTE = {"en": re.compile(f"[{_VOWEL}].*[bcdfghjkmnpqrstvwxz]e(?:s|d)?$"), "fr": re.compile(f"[{_VOWEL}].*[{_CONSONANT}]e(?:s|nt)?$")}
 _MEMO = 200_000
 
 
+def _levels(language: str) -> dict[str, list[tuple[int, int]]]:
+    """The letters of each pattern with the places and sizes of its digits."""
+    out = {}
+    for p in _PATTERNS.get(language, "").split():
+        letters = re.sub(r"\d", "", p)
+        out[letters] = [(len(re.sub(r"\d", "", p[: m.start()])), int(m[0])) for m in re.finditer(r"\d", p)]
+    return out
+
+
+_LEVELS = {k: _levels(k) for k in _PATTERNS}
+_LONGEST = max(len(p) for levels in _LEVELS.values() for p in levels)
+
+
+def _breaks(word: str, language: str) -> set[int]:
+    """Places in ``word`` where the language's patterns part two letters."""
+    found: dict[int, int] = {}
+    edged, levels = f".{word}.", _LEVELS.get(language, {})
+    for i in range(len(edged)):
+        for n in range(2, min(_LONGEST, len(edged) - i) + 1):
+            for at, size in levels.get(edged[i : i + n], ()):
+                found[i + at - 1] = max(found.get(i + at - 1, 0), size)
+    return {at for at, size in found.items() if size % 2}
+
+
+def _mute(head: str, tail: str, language: str) -> bool:
+    """Whether an e between ``head`` and ``tail`` at the end of a word is not spoken."""
+    voiced = head[-1:] == "l" and head[-2:-1] not in _VOWEL  # ta-ble
+    if language == "en":
+        return tail == "" and not voiced or tail == "s" and not voiced and not head.endswith(_SIBILANT) or tail == "d" and not voiced and not head.endswith(("t", "d"))
+    return language == "fr" and (tail in ("", "s") or tail == "nt" and not head.endswith("m"))
+
+
 def syllables(word: str, language: str) -> int:
-    """Vowel groups without a mute ending; each Hangul block is a syllable; one at least."""
+    """Groups of vowels, parted where the language's patterns break them, without a mute ending; each Hangul block is a
+    syllable; one at least."""
     blocks = len(_HANGUL.findall(word))
-    mute = _MUTE.get(language)
-    return max(1, blocks + len(_GROUP.findall(word)) - (1 if mute and mute.search(word) else 0))
+    groups = list(_GROUP.finditer(word))
+    apart = _breaks(word, language) if any(len(g[0]) > 1 for g in groups) else ()
+    starts = [k for g in groups for k in range(g.start(), g.end()) if k == g.start() or k in apart]
+    n = len(starts)
+    if n > 1 and word[starts[-1]] == "e" and groups[-1].end() == starts[-1] + 1 and _mute(word[: starts[-1]], word[starts[-1] + 1 :], language):
+        n -= 1
+    return max(1, blocks + n)
 
 
 def _shape(word: str, language: str) -> tuple[int, int, int, int, int]:
