@@ -28,7 +28,11 @@ LOOKALIKES = {
     "ӏ": "l", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ү": "y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "ν": "v", "ο": "o", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
-    "Օ": "O", "օ": "o", "ɡ": "g", "ɑ": "a", "ⅼ": "l",
+    "Օ": "O", "օ": "o", "Ս": "U", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "ɡ": "g", "ɑ": "a", "ⅼ": "l",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭹ": "y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z",
+    "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N",
+    "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     "‐": "-", "‑": "-", "‒": "-", "﹣": "-", "⁃": "-", "−": "-", "⁄": "/", "∕": "/",
 }
 #: Kinds of compatibility decomposition that leave the look of a character alone (not super- or subscripts, fractions,
@@ -41,7 +45,7 @@ _BLANK = r"[\p{Zs}\t\n\v\f\r\x{0085}\x{2028}\x{2029}\x{2800}]"
 def _tables() -> tuple[dict[str, str], dict[str, str]]:
     """(one character to one, one to several), built from the Unicode data and the look-alikes."""
     single, several = {}, {}
-    for code in [*range(0x80, 0x3400), *range(0xFB00, 0xFB50), *range(0xFF00, 0xFFF0), *range(0x1D400, 0x1D800)]:
+    for code in [*range(0x80, 0x3400), *range(0xFB00, 0xFE00), *range(0xFE30, 0xFF00), *range(0xFF00, 0xFFF0), *range(0x1D400, 0x1D800)]:
         ch = chr(code)
         kind = unicodedata.decomposition(ch)
         form = unicodedata.normalize("NFKC", ch)
@@ -66,10 +70,10 @@ def form_sql(column: str) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     bare = f"regexp_replace(regexp_replace({column}, '{_INVISIBLE}', '', 'g'), '{_BLANK}', ' ', 'g')"
     spread = f"translate({bare}, {quoted(''.join(_SINGLE))}, {quoted(''.join(_SINGLE.values()))})"
-    chain = "_t"
-    for ch, form in _SEVERAL.items():
-        chain = f"replace({chain}, {quoted(ch)}, {quoted(form)})"
-    long = f"list_transform([{spread}], lambda _t: CASE WHEN regexp_matches(_t, '[{''.join(_SEVERAL)}]') THEN {chain} ELSE _t END)[1]"
+    # letter by letter only in the few texts that have a form of several characters
+    forms = f"MAP([{', '.join(map(quoted, _SEVERAL))}], [{', '.join(map(quoted, _SEVERAL.values()))}])"
+    spelled = f"array_to_string(list_transform(string_split(_t, ''), lambda _c: coalesce({forms}[_c], _c)), '')"
+    long = f"list_transform([{spread}], lambda _t: CASE WHEN regexp_matches(_t, '[{''.join(_SEVERAL)}]') THEN {spelled} ELSE _t END)[1]"
     return f"CASE WHEN regexp_full_match({column}, '[ -~]*') THEN {column} ELSE nfc_normalize({long}) END"
 
 

@@ -107,9 +107,17 @@ _P6_NEAR = f""", points AS (SELECT *, {_WORDS} FROM keys WHERE h IS NOT NULL)
 SELECT DISTINCT a.batch_no, a.incoming_id FROM points a JOIN points b ON a.kind = b.kind AND a.size = b.size AND b.w0 BETWEEN a.w0 - 500 AND a.w0 + 500
 WHERE {" + ".join(f"abs(a.w{k} - b.w{k})" for k in range(4))} <= 500 AND {_EARLIER}"""
 
+# written apart from the operator: characters are judged one by one by their code points, and composed at the end
+_LOOK = ("АВЕКМНОРСТУХЅІЈасеорхуѕіјһӏԁԝԛɡɑΑΒΕΖΗΙΚΜΝΟΡΤΥΧον‐‑‒−", "ABEKMHOPCTYXSIJaceopxysijhldwqgaABEZHIKMNOPTYXov----")
+_P4_FORM = f"""nfc_normalize(array_to_string(list_transform(string_split(p, ''), lambda c: CASE
+  WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248)
+  WHEN unicode(c) IN (9, 10, 11, 12, 13, 133, 160, 5760, 8232, 8233, 8239, 8287, 12288) OR unicode(c) BETWEEN 8192 AND 8202 THEN ' '
+  WHEN unicode(c) IN (173, 847, 1564, 8288, 65279) OR unicode(c) BETWEEN 8203 AND 8207 OR unicode(c) BETWEEN 8234 AND 8238 OR unicode(c) BETWEEN 65024 AND 65039 THEN ''
+  WHEN unicode(c) BETWEEN 64256 AND 64260 THEN ['ff', 'fi', 'fl', 'ffi', 'ffl'][unicode(c) - 64255]
+  WHEN unicode(c) = 8230 THEN '...' ELSE translate(c, '{_LOOK[0]}', '{_LOOK[1]}') END), ''))"""
 _P4 = f"""
-WITH o AS (SELECT id, current_path AS p, {glyphs.form_sql("current_path")} AS form FROM scan_observations WHERE current_path IS NOT NULL),
-f AS (SELECT file_id, current_path AS p, filename, {glyphs.form_sql("current_path")} AS form FROM media_files WHERE current_path IS NOT NULL)
+WITH o AS (SELECT id, p, CASE WHEN regexp_full_match(p, '[ -~]*') THEN p ELSE {_P4_FORM} END AS form FROM (SELECT id, current_path AS p FROM scan_observations WHERE current_path IS NOT NULL)),
+f AS (SELECT file_id, filename, p, CASE WHEN regexp_full_match(p, '[ -~]*') THEN p ELSE {_P4_FORM} END AS form FROM (SELECT file_id, filename, current_path AS p FROM media_files WHERE current_path IS NOT NULL))
 SELECT DISTINCT o.id AS obs_id, f.file_id FROM o JOIN f ON o.form = f.form
 WHERE o.p <> f.p OR f.filename IS DISTINCT FROM list_extract(string_split(o.p, '/'), -1)
 """

@@ -26,6 +26,9 @@ SAME = [
     ("e\u200b\u0301", "é"),
     ("ӏοѕѕ", "loss"),
     ("\u212b", "Å"),
+    ("\ufefc\ufe8d", "\u0644\u0627\u0627"),
+    ("\ufb50", "\u0671"),
+    ("ᎪᏟꓐ"[0] + "Ꮯ" + "ꓐ", "ACB"),
 ]
 APART = [("a", "A"), ("e", "é"), ("0", "O"), ("l", "1"), ("a b", "a  b"), ("rn", "m"), ("x²", "x2"), ("и", "й"), ("I", "l")]
 
