@@ -48,20 +48,25 @@ def source_key(col: Column) -> Column:
     return F.nullif(key, F.lit(""))
 
 
-def with_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens) of documents with a source and a text."""
+def with_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY, size_col: str | None = None) -> DataFrame:
+    """(doc_id, source, tokens) of documents with a source and a text; ``size_col`` names a column of sizes to take for the
+    tokens. The vocabulary file is read here and sent to the workers."""
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), source_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text"), *([F.col(size_col).cast("long").alias("tokens")] if size_col else []))
+    rows = rows.where("source is not null and text is not null")
+    if size_col:
+        return rows.select("doc_id", "source", "tokens")
+    with open(vocabulary, "rb") as f:
+        sent = documents.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         coder = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [len(coder.encode_ordinary(t)) for t in b["text"]]})
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), source_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text"))
-    return rows.where("source is not null and text is not null").mapInPandas(count, "doc_id long, source string, tokens long")
+    return rows.mapInPandas(count, "doc_id long, source string, tokens long")
 
 
 def clean_targets(targets: DataFrame) -> DataFrame:
@@ -119,8 +124,8 @@ def schedule_inverse(done: Column, tilt: Column) -> Column:
 def _streams(sized: DataFrame, held: DataFrame) -> DataFrame:
     """``sized`` with ``upto``, the tokens of its source before it, in an order by hash."""
     # a repeated row of one document has equal hashes; the order of equal rows does not matter, as they are equal
-    part = sized.join(F.broadcast(held.select("source", F.ceil(F.col("docs") / RANGE_ROWS).alias("ranges"))), "source")  # a row a source
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id", "source"), 11) / F.lit(float(1 << 53))
+    part = sized.join(held.select("source", F.ceil(F.col("docs") / RANGE_ROWS).alias("ranges")), "source")
+    unit = F.conv(F.substring(F.md5(F.concat_ws(" ", "doc_id", "source")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     part = part.withColumn("unit", unit).withColumn("range", F.floor(F.col("unit") * F.col("ranges")))
     sums = part.groupBy("source", "range").agg(F.sum("tokens").alias("in_range"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,11 +135,11 @@ def _streams(sized: DataFrame, held: DataFrame) -> DataFrame:
     return part.join(sums, ["source", "range"]).select("doc_id", "source", "tokens", (F.col("base") + F.col("inner")).alias("upto"))
 
 
-def _prepared(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None, vocabulary: str) -> tuple[DataFrame, DataFrame]:
+def _prepared(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None, vocabulary: str, size_col: str | None) -> tuple[DataFrame, DataFrame]:
     wanted = clean_targets(targets).select("source").distinct()
-    keyed = documents.select("doc_id", "text", "source", source_key(F.col("source")).alias("key"))
-    keyed = keyed.join(wanted.withColumnRenamed("source", "key"), "key", "left_semi")
-    sized = cut_lineage(with_tokens(keyed, vocabulary=vocabulary).where("tokens > 0"))
+    keyed = documents.select("doc_id", "text", "source", *([size_col] if size_col else []), source_key(F.col("source")).alias("_key"))
+    keyed = keyed.join(wanted.withColumnRenamed("source", "_key"), "_key", "left_semi")
+    sized = cut_lineage(with_tokens(keyed, vocabulary=vocabulary, size_col=size_col).where("tokens > 0"))
     held = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     held = cut_lineage(held)
     return _streams(sized, held), cut_lineage(plan(targets, held, total_tokens))
@@ -150,16 +155,16 @@ def _select(streams: DataFrame, planned: DataFrame) -> DataFrame:
     return rows.select("mix_name", schedule_inverse(done, F.col("tilt")).alias("position"), "source", "doc_id", "copy", "tokens")
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, vocabulary: str = VOCABULARY, size_col: str | None = None) -> DataFrame:
     """(mix_name, position, source, doc_id, copy, tokens): the selected copies, range-sorted by mix and position."""
-    streams, planned = _prepared(documents, targets, total_tokens, vocabulary)
+    streams, planned = _prepared(documents, targets, total_tokens, vocabulary, size_col)
     chosen = _select(streams, planned)
     return chosen.repartitionByRange("mix_name", "position").sortWithinPartitions("mix_name", "position", "source", "doc_id", "copy")
 
 
-def report(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+def report(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, vocabulary: str = VOCABULARY, size_col: str | None = None) -> DataFrame:
     """One row for each source of each mix: target and actual share, tokens held and selected, documents, repeats."""
-    streams, planned = _prepared(documents, targets, total_tokens, vocabulary)
+    streams, planned = _prepared(documents, targets, total_tokens, vocabulary, size_col)
     got = _select(streams, planned).groupBy("mix_name", "source").agg(F.sum("tokens").alias("selected_tokens"), F.count("*").alias("selected_docs"), F.max("copy").alias("most_repeats"))
     every = Window.partitionBy("mix_name")
     return planned.join(got, ["mix_name", "source"], "left").select(

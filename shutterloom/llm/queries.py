@@ -32,6 +32,15 @@ def p2_entities(spark: SparkSession, d: str) -> DataFrame:
     return e.join(least, "entity").select("id", "entity_id", "spelled_by")
 
 
+def p2_same_spelling(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p2_found whose display names are one plain spelling of two words, without regard to case."""
+    name = F.lower("display_name")
+    plain = table(spark, d, "people").where(name.rlike("^[a-z]{3,} [a-z]{8,}$") & ~name.rlike("^(uncle|aunt|auntie|cousin|coach|the|prof|capt|unknown|unnamed|person) ")).select("id", name.alias("name")).distinct()
+    pairs = names.same_pairs(table(spark, d, "people"))
+    a, b = plain.select(F.col("id").alias("id_a"), "name"), plain.select(F.col("id").alias("id_b"), F.col("name").alias("name_b"))
+    return pairs.join(a, "id_a").join(b, "id_b").where("name = name_b").select("id_a", "id_b")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.same_looking(table(spark, d, "scan_observations"), table(spark, d, "media_files"))
 
@@ -63,6 +72,13 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("word_share"), 6).alias("largest_share"))
 
 
+def p7_verbatim(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p7_found whose document has the item's whole text, of over 100 characters, letter by letter."""
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", F.col("text").alias("item_text"))
+    found = p7_found(spark, d).join(docs, "doc_id").join(items, "item_id")
+    return found.where(F.contains("text", "item_text") & (F.length("item_text") > 100)).select("doc_id", "item_id").distinct()
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), mixing.HELD)
 
@@ -71,10 +87,27 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_targets"), mixing.HELD)
 
 
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the same mixes where sizes are characters."""
+    rows = mixing.report(table(spark, d, "documents"), table(spark, d, "mix_targets"), mixing.HELD, size_col="n_chars")
+    return rows.select("mix_name", "source", "target_share", "actual_share", "held_tokens", "held_docs", "selected_tokens", "selected_docs", "most_repeats")
+
+
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return readability.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
+def p9_words(spark: SparkSession, d: str) -> DataFrame:
+    """How many words each document without markup has."""
+    rows = readability.measures(table(spark, d, "documents").where("text is not null and not text rlike '[<&]'"))
+    return rows.select("doc_id", F.col("words").cast("long").alias("words"))
+
+
+def p9_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The grades that formulas are fitted on: the median of the possible ones of each document."""
+    return readability.clean_labels(table(spark, d, "reading_labels"))
+
+
 def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     """The corpus by language and whole grade: documents and words."""
     levels = p9_levels(spark, d)
@@ -130,23 +163,62 @@ pairs AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.c, b.c) AS s FROM
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS place FROM pairs)
 """
 
+_KEY = r"nullif(regexp_replace(lower(trim(regexp_replace(source, '\s+', ' ', 'g'))), '[\s_-]+', '-', 'g'), '')"
+_P8 = f"""
+WITH t AS (SELECT mix_name, source, sum(w) AS w, min(cap) AS cap FROM (SELECT mix_name, {_KEY} AS source, CASE WHEN target_weight > 0 AND target_weight < 'inf'::DOUBLE THEN target_weight ELSE 0 END AS w, max_repeats AS cap FROM mix_targets)
+  WHERE mix_name IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT doc_id, source, n_chars AS tokens, CAST('0x' || md5(doc_id || ' ' || source)[1:12] AS BIGINT) AS unit FROM (SELECT doc_id, {_KEY} AS source, n_chars FROM documents WHERE text IS NOT NULL AND n_chars > 0) WHERE source IN (SELECT source FROM t)),
+h AS (SELECT source, sum(tokens) AS tokens, count(*) AS docs FROM d GROUP BY 1),
+a AS (SELECT mix_name, source, coalesce(w / nullif(sum(w) OVER m, 0), 0) AS target, cap, coalesce(tokens, 0) AS tokens, coalesce(docs, 0) AS docs FROM t LEFT JOIN h USING (source) WINDOW m AS (PARTITION BY mix_name)),
+b AS (SELECT *, CASE WHEN tokens = 0 OR cap < 1 THEN 0 WHEN cap IS NULL THEN 'inf'::DOUBLE ELSE cap * tokens END AS room FROM a),
+c AS (SELECT *, coalesce(CASE WHEN room > 0 THEN target ELSE 0 END / nullif(sum(CASE WHEN room > 0 THEN target ELSE 0 END) OVER (PARTITION BY mix_name), 0), 0) AS share FROM b),
+e AS (SELECT *, CASE WHEN share > 0 THEN room / share ELSE 0 END AS fills, sum(CASE WHEN share > 0 THEN tokens END) OVER (PARTITION BY mix_name) AS budget FROM c),
+f AS (SELECT *, coalesce(sum(CASE WHEN share > 0 AND room < 'inf'::DOUBLE THEN room ELSE 0 END) OVER (PARTITION BY mix_name ORDER BY fills, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(share) OVER (PARTITION BY mix_name ORDER BY fills, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM e),
+g AS (SELECT *, CASE WHEN rest > 0 THEN (budget - before) / rest END AS level FROM f),
+i AS (SELECT mix_name, arg_min(level, (fills, level)) AS level FROM g WHERE share > 0 AND fills >= level GROUP BY 1),
+p AS (SELECT g.* EXCLUDE (level), CASE WHEN share > 0 THEN least(room, share * coalesce(i.level, 'inf'::DOUBLE)) ELSE 0 END AS demand FROM g LEFT JOIN i USING (mix_name)),
+s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY unit, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM d),
+n AS (SELECT mix_name, p.source, s.tokens, ceil((demand - (upto + s.tokens / 2)) / p.tokens)::BIGINT AS copies FROM s JOIN p ON s.source = p.source WHERE demand > 0 AND upto + s.tokens / 2 < demand),
+r AS (SELECT mix_name, source, sum(tokens * copies) AS got, sum(copies) AS docs_got, max(copies) AS most FROM n GROUP BY 1, 2)
+SELECT mix_name, source, round(target, 6) AS target_share, round(coalesce(got / nullif(sum(got) OVER (PARTITION BY mix_name), 0), 0), 6) AS actual_share, tokens::BIGINT AS held_tokens, docs AS held_docs,
+  coalesce(got, 0)::BIGINT AS selected_tokens, coalesce(docs_got, 0)::BIGINT AS selected_docs, coalesce(most, 0)::INTEGER AS most_repeats
+FROM p LEFT JOIN r USING (mix_name, source)
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_topk": p1_topk,
     "p2_found": p2_found,
     "p2_entities": p2_entities,
+    "p2_same_spelling": p2_same_spelling,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_by_batch": p6_by_batch,
     "p6_near": p6_near,
     "p7_found": p7_found,
     "p7_leaked_items": p7_leaked_items,
+    "p7_verbatim": p7_verbatim,
     "p8_mix": p8_mix,
     "p8_report": p8_report,
+    "p8_shares": p8_shares,
     "p9_levels": p9_levels,
     "p9_profile": p9_profile,
+    "p9_words": p9_words,
+    "p9_labels": p9_labels,
 }
 SQL = {
+    "p2_same_spelling": """
+WITH n AS (SELECT DISTINCT id, lower(display_name) AS name FROM people WHERE id IS NOT NULL
+  AND regexp_full_match(lower(display_name), '[a-z]{3,} [a-z]{8,}') AND NOT regexp_matches(lower(display_name), '^(uncle|aunt|auntie|cousin|coach|the|prof|capt|unknown|unnamed|person) '))
+SELECT a.id AS id_a, b.id AS id_b FROM n a JOIN n b ON a.name = b.name AND a.id < b.id""",
+    "p7_verbatim": """
+SELECT DISTINCT doc_id, item_id FROM documents d JOIN eval_items i ON contains(d.text, i.text) WHERE doc_id IS NOT NULL AND item_id IS NOT NULL AND length(i.text) > 100""",
+    "p8_shares": _P8,
+    "p9_words": r"""
+SELECT doc_id, len(regexp_extract_all(lower(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g')), '[\p{L}\p{Nl}\p{No}]+(?:[''’][\p{L}\p{Nl}\p{No}]+)*')) AS words
+FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND NOT regexp_matches(text, '[<&]')""",
+    "p9_labels": "SELECT doc_id, median(grade::DOUBLE) AS grade FROM reading_labels WHERE doc_id IS NOT NULL AND grade BETWEEN 1 AND 18 GROUP BY 1",
     "p1_found": _P1.format(only="")
     + "SELECT DISTINCT least(id, other) AS person_id_a, greatest(id, other) AS person_id_b FROM ranked WHERE place <= 10 AND s >= 0.85",
     "p1_topk": _P1.format(only="WHERE a.id % 100 = 0")
