@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 INTENT_WEIGHTS = {"ocr": (0.62, 0.04, 0.22), "semantic": (0.03, 0.70, 0.18), "mixed": (0.36, 0.34, 0.18), "default": (0.35, 0.36, 0.17)}
 CHANNELS = ("ocr", "clip", "shadow")
 RANK_CONSTANT = 60
-BOOST = {"phrase": 0.22, "tokens": 0.12, "tag": 0.9, "place": 0.08, "person": 0.06, "date": 0.08, "promoted": 0.15}
+BOOST = {"phrase": 0.22, "tokens": 0.12, "grams": 0.10, "tag": 0.9, "place": 0.08, "person": 0.06, "date": 0.08, "promoted": 0.15}
 
 
 def weights(intent: str, stored: dict[str, tuple[float, float, float]] | None = None, asked: tuple[float, float, float] | None = None, empty_clip: bool = False) -> dict[str, float]:
@@ -68,10 +68,19 @@ def boosted(score: Column, *bonuses: Column) -> Column:
     return F.least(F.lit(1.0), sum((F.coalesce(b, F.lit(0.0)) for b in bonuses), score))
 
 
+def explained(df: DataFrame, bonuses: dict[str, Column]) -> DataFrame:
+    """``df`` with its score boosted, and ``parts``: each stage that changed the score and by how much."""
+    pairs = [F.struct(F.lit("channels").alias("stage"), F.round("score", 9).alias("delta"))]
+    pairs += [F.struct(F.lit(n).alias("stage"), F.coalesce(b.cast("double"), F.lit(0.0)).alias("delta")) for n, b in bonuses.items()]
+    parts = F.filter(F.array(*pairs), lambda p: p["delta"] != 0)
+    return df.withColumns({"parts": parts, "score": boosted(F.col("score"), *bonuses.values())})
+
+
 def day_cap(df: DataFrame, ts: str, order: list[Column], keep: int = 5) -> DataFrame:
     """At most ``keep`` rows of a calendar day, in ``order``; rows without a time all stay."""
-    w = Window.partitionBy(F.to_date(ts), F.col(ts).isNull()).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= keep) | F.col(ts).isNull()).drop("_n")
+    w = Window.partitionBy(F.to_date(ts)).orderBy(*order)
+    timed = df.where(F.col(ts).isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
+    return timed.unionByName(df.where(F.col(ts).isNull()))
 
 
 def burst(df: DataFrame, ts: str, score: str, pos: str, seconds: int = 3) -> DataFrame:

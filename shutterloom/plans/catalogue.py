@@ -8,6 +8,7 @@ alias_clusters_all and resolve_labels_all do the whole job.
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,7 +19,8 @@ from shutterloom.operators import boxes, catalog, hierarchy, places, ranking, te
 from shutterloom.operators.components import components
 from shutterloom.operators.spatial import in_regions
 from shutterloom.plans import planner
-from shutterloom.plans.search import search, suggest
+from shutterloom.plans.search import resolve_people, search, suggest, vocabulary
+from shutterloom.session import remove, shared_folder
 from shutterloom.sources.listing import sample_per_root
 from shutterloom.sources.tables import table
 from shutterloom.streaming import sync
@@ -756,18 +758,18 @@ def camera_times(spark, d):
     return table(spark, d, "media_files").select("file_id", P.camera_time(said).alias("taken"))
 
 
-@query()
+@query(_TAGS + """, c AS (SELECT tag_value AS s, count(*) AS n FROM t WHERE contains(lower(tag_value), 'tri') AND tag_value NOT LIKE 'person-%' GROUP BY 1),
+a AS (SELECT s AS suggestion, 0 AS source, CASE WHEN starts_with(lower(s), 'tri') THEN 0 ELSE 1 END AS k1, -n::DOUBLE AS k2 FROM (SELECT * FROM c ORDER BY n DESC, s LIMIT 40)),
+l AS (SELECT 'trip ' || user_id AS q, max(ts) AS last_at FROM events WHERE trunc(value) > 0 GROUP BY 1),
+b AS (SELECT q, 1, 0, -epoch_us(last_at)::DOUBLE FROM (SELECT * FROM l ORDER BY last_at DESC, q LIMIT 40)),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+o AS (SELECT *, row_number() OVER (PARTITION BY lower(suggestion) ORDER BY source, k1, k2, suggestion) AS nth FROM u)
+SELECT suggestion, source::INTEGER AS source FROM o WHERE nth = 1 ORDER BY source, k1, k2, suggestion LIMIT 10""")
 def suggestions(spark, d):
     log = table(spark, d, "events").select(F.concat(F.lit("trip "), F.col("user_id").cast("string")).alias("query"), F.col("value").cast("long").alias("result_count"), F.col("ts").alias("at"))
     return suggest(tags(spark, d), log, "tri", 10)
 
 
-@query()
-def nl_hard_filters(spark, d):
-    """A search with a date, an exclusion and a weekend in its plan."""
-    return search(library(spark, d), "bridge last year without receipt weekend", date(2024, 6, 1), limit=20)
-
-
 # --- people ---
 
 @query("SELECT l_orderkey AS file_id, CASE WHEN l_suppkey = 3 THEN 1 ELSE l_suppkey END AS person_id, count(*) AS faces FROM lineitem GROUP BY 1, 2")
@@ -790,11 +792,22 @@ def label_drift(spark, d):
     return catalog.label_drift(want, have)
 
 
-@query()
+_IOU = """
+WITH RECURSIVE b AS (SELECT l_orderkey AS file_id, l_linenumber AS id, (l_partkey % 90)::DOUBLE AS x, (l_suppkey % 70)::DOUBLE AS y FROM lineitem),
+m AS (SELECT a.file_id, a.id AS old_id, c.id AS new_id, 60 - abs(a.x - c.x - c.id * 3) AS w, 60 - abs(a.y - c.y - 4) AS h FROM b a JOIN b c USING (file_id)),
+p AS (SELECT file_id, old_id, new_id, w * h / (7200 - w * h) AS overlap FROM m WHERE w > 0 AND h > 0 AND w * h / (7200 - w * h) >= 0.5),
+g(file_id, olds, news, old_id, new_id, overlap) AS (
+  SELECT file_id, [old_id], [new_id], old_id, new_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY overlap DESC, old_id, new_id) AS nth FROM p) WHERE nth = 1
+  UNION ALL SELECT file_id, list_append(olds, old_id), list_append(news, new_id), old_id, new_id, overlap FROM (
+    SELECT p.*, g.olds, g.news, row_number() OVER (PARTITION BY p.file_id ORDER BY p.overlap DESC, p.old_id, p.new_id) AS nth FROM g JOIN p ON g.file_id = p.file_id AND NOT list_contains(g.olds, p.old_id) AND NOT list_contains(g.news, p.new_id)) WHERE nth = 1)
+"""
+
+
+@query(_IOU + "SELECT file_id, old_id, new_id, round(overlap, 9) AS overlap FROM g")
 def iou_match(spark, d):
     b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("id"), (F.col("l_partkey") % 90).cast("double").alias("x"), (F.col("l_suppkey") % 70).cast("double").alias("y"), F.lit(60.0).alias("width"), F.lit(60.0).alias("height"))
     moved = b.withColumn("x", F.col("x") + F.col("id") * 3).withColumn("y", F.col("y") + 4)
-    return boxes.greedy_match(b, moved)
+    return boxes.greedy_match(b, moved).withColumn("overlap", F.round("overlap", 9))
 
 
 # --- events ---
@@ -818,23 +831,112 @@ def library(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("updated_at").alias("taken"), F.filter(kinds, lambda t: t["tag_value"].isNotNull()).alias("tags"), F.lit(None).cast("long").alias("people"))
 
 
-@query()
+TODAY = date(2024, 6, 1)
+
+
+def _nl_sql(words: str, tokens: list[str], where: str, keep: int, text_bonus: float, place: str | None = None, dated: bool = False) -> str:
+    """A search whose only channel is the full text, ranked by BM25: what the planner makes of words and conditions is
+    stated here by hand."""
+    every = " AND ".join(f"contains(low, '{w}')" for w in words.split())
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(tokens))
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(tokens)))
+    score = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / mean))" for i in range(len(tokens)))
+    some = " + ".join(f"tf{i}" for i in range(len(tokens)))
+    at_place = f"0.08 * (contains(lower(coalesce(source, '')), '{place}'))::INT" if place else "0"
+    phrase = "1" if " " in words else "0"
+    return f"""
+WITH t AS (SELECT doc_id AS id, text, lower(coalesce(text, '')) AS low, updated_at AS taken, source, lang, doc_kind, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z가-힣_]+') AS w FROM documents),
+f AS (SELECT *, len(w) AS len, {tf} FROM t),
+s AS (SELECT count(*) AS n, avg(len) AS mean, {df} FROM f),
+b AS (SELECT f.*, -({score}) AS bm25 FROM f, s WHERE ({some}) > 0 AND {where}),
+k AS (SELECT *, row_number() OVER (ORDER BY bm25, taken DESC NULLS LAST, id) AS rank FROM b),
+h AS (SELECT *, 1.0 / (60 + rank) AS raw FROM k WHERE rank <= {keep}),
+c AS (SELECT id, taken, (contains(low, '{words}'))::INT * {phrase} AS phrase, least(1, raw / max(raw) OVER () + CASE WHEN contains(low, '{words}') THEN 0.22 WHEN {every} THEN {text_bonus} ELSE 0 END + {at_place} + {0.08 if dated else 0}) AS score FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY phrase DESC, score DESC, id) AS pos FROM c),
+u AS (SELECT *, epoch_us(taken) // 3000000 AS cell FROM p),
+v AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY score DESC, pos) AS nth, min(pos) OVER (PARTITION BY cell) AS first FROM u WHERE taken IS NOT NULL),
+x AS (SELECT id, taken, score, first AS pos FROM v WHERE nth = 1 UNION ALL SELECT id, taken, score, pos FROM u WHERE taken IS NULL),
+y AS (SELECT *, row_number() OVER (PARTITION BY CAST(taken AS DATE) ORDER BY pos, id) AS day FROM x)
+SELECT id, round(score, 6) AS score, 'shadow' AS reason FROM y WHERE day <= 5 OR taken IS NULL ORDER BY pos, id LIMIT 20"""
+
+
+def _answer(found: DataFrame) -> DataFrame:
+    return found.select("id", F.round("score", 6).alias("score"), "reason")
+
+
+@query(_nl_sql("old bridge near the river", ["old", "bridge", "near", "the", "river"], "true", 20, 0.12, "river"))
 def nl_search_flagship(spark, d):
-    return search(library(spark, d), "old bridge near the river", date(2024, 6, 1), limit=20)
+    return _answer(search(library(spark, d), "old bridge near the river", TODAY, {}, limit=20))
 
 
-@query()
-def nl_fallback(spark, d):
-    return search(library(spark, d), "postcardz", date(2024, 6, 1), {"place": {"postcards"}}, limit=20)
+@query(_nl_sql("old bridge near the river", ["old", "bridge", "near", "the", "river"], "true", 20, 0.12, "river"))
+def nl_search_indexed(spark, d):
+    """The same search where the words' counts come from a stored index."""
+    index = text.TextIndex(spark, f"{shared_folder(spark)}/shutterloom/index-{uuid.uuid4().hex}")
+    index.rebuild(table(spark, d, "documents"), "doc_id", "text")
+    found = _answer(search(library(spark, d), "old bridge near the river", TODAY, {}, limit=20, index=index))
+    remove(spark, index.path)
+    return found
 
 
-@query()
+@query(_nl_sql("bridge", ["bridge"], "taken >= TIMESTAMP '2023-01-01' AND taken < TIMESTAMP '2024-01-01' AND isodow(taken) IN (6, 7) AND NOT contains(low, 'receipt') AND lower(coalesce(doc_kind, '')) <> 'receipt' AND lower(coalesce(source, '')) <> 'receipt'", 80, 0.22, dated=True))
+def nl_hard_filters(spark, d):
+    """A search with a date, an exclusion and a weekend in its plan."""
+    return _answer(search(library(spark, d), "bridge last year without receipt weekend", TODAY, {}, limit=20))
+
+
+@query("""
+WITH h AS (SELECT doc_id AS id, updated_at AS taken, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, doc_id) AS rank, lower(coalesce(text, '')) AS low, lower(source) = 'postcards' AS there
+  FROM documents WHERE lower(source) = 'postcards' OR lower(doc_kind) = 'postcards' OR lower(lang) = 'postcards'),
+c AS (SELECT id, least(1, 61 / (60 + rank) + 0.9 + CASE WHEN contains(low, 'postcards') THEN 0.22 ELSE 0 END + CASE WHEN there THEN 0.08 ELSE 0 END) AS score FROM h WHERE rank <= 20)
+SELECT id, round(score, 6) AS score, 'shadow' AS reason, 'postcards' AS used FROM c""")
+def nl_fallback(spark, d):
+    """Nothing has the words, so the tag most like them is asked for."""
+    found = search(library(spark, d), "postcardz", TODAY, {"place": {"postcards"}}, limit=20)
+    return found.select("id", F.round("score", 6).alias("score"), "reason", "used")
+
+
+_ASKED = [
+    "beach last summer", "receipt from yesterday", "three people at the park", "여행 사진 작년", "screenshot of chat", "sunset without people", "birthday party weekend",
+    "notebook is not far from market", "bridge last year without receipt weekend", "winter 2021 at the museum", "강아지 없는 공원 오전", "at least 4 people in april 2 years ago", "newest family photos weekday evening", "invoice 2023-04",
+]
+
+
+@query("""SELECT query, keywords, intent, mode, reason, first, last, excluded, daypart, weekdays, needs, fewest::INTEGER AS fewest FROM (VALUES
+('beach last summer', 'beach', 'visual', 'semantic', 'planner-visual', '2024-06-01', '2024-08-31', '', '-', '', '', -1),
+('receipt from yesterday', 'receipt from', 'mixed', 'ocr', 'auto-text-hint', '2024-05-31', '2024-05-31', '', '-', '', '', -1),
+('three people at the park', 'three people at the park', 'visual', 'semantic', 'auto-face', '1900-01-01', '1900-01-01', '', '-', '', '', 3),
+('여행 사진 작년', '여행 사진', 'visual', 'semantic', 'auto-travel', '2023-01-01', '2023-12-31', '', '-', '', '', -1),
+('screenshot of chat', 'screenshot of chat', 'hybrid', 'hybrid', 'fallback', '1900-01-01', '1900-01-01', '', '-', '', '', -1),
+('sunset without people', 'sunset', 'visual', 'semantic', 'auto-face', '1900-01-01', '1900-01-01', 'people', '-', '', '', -1),
+('birthday party weekend', 'birthday party', 'visual', 'semantic', 'auto-celebration', '1900-01-01', '1900-01-01', '', '-', '5,6', '', -1),
+('notebook is not far from market', 'notebook is not far from market', 'visual', 'semantic', 'planner-visual', '1900-01-01', '1900-01-01', '', '-', '', '', -1),
+('bridge last year without receipt weekend', 'bridge', 'visual', 'ocr', 'auto-text-hint', '2023-01-01', '2023-12-31', 'receipt', '-', '5,6', '', -1),
+('winter 2021 at the museum', 'at the museum', 'visual', 'semantic', 'planner-visual', '2020-12-01', '2021-02-28', '', '-', '', 'place', -1),
+('강아지 없는 공원 오전', '공원', 'visual', 'semantic', 'planner-visual', '1900-01-01', '1900-01-01', '강아지', 'morning', '', '', -1),
+('at least 4 people in april 2 years ago', 'at least 4 people in 2', 'visual', 'hybrid', 'auto-mixed', '2022-04-01', '2022-04-30', '', '-', '', '', 4),
+('newest family photos weekday evening', 'family photos', 'visual', 'semantic', 'auto-face', '2024-05-02', '2024-06-01', '', 'evening', '0,1,2,3,4', '', -1),
+('invoice 2023-04', 'invoice 04', 'mixed', 'ocr', 'auto-text-hint', '2023-01-01', '2023-12-31', '', '-', '', '', -1)
+) v(query, keywords, intent, mode, reason, first, last, excluded, daypart, weekdays, needs, fewest)""")
 def query_plans(spark, d):
-    """The planner over the search log's canned queries: intent, mode and dates."""
-    asked = ["beach last summer", "receipt from yesterday", "three people at the park", "여행 사진 작년", "screenshot of chat", "sunset without people", "birthday party weekend"]
+    """The planner over canned queries; what SQL expects of each is written out by hand."""
+    return spark.createDataFrame(_plans(), "query string, keywords string, intent string, mode string, reason string, first string, last string, excluded string, daypart string, weekdays string, needs string, fewest int")
+
+
+def _plans() -> list[tuple]:
     rows = []
-    for q in asked:
-        p = planner.make(q, date(2024, 6, 1))
-        mode, why = planner.route(p)
-        rows.append((q, p.intent, mode, why, *(p.days or (None, None)), list(p.excluded)))
-    return spark.createDataFrame(rows, "query string, intent string, mode string, reason string, first date, last date, excluded array<string>")
+    for q in _ASKED:
+        p = planner.make(q, TODAY)
+        never = date(1900, 1, 1)
+        rows.append((q, p.keywords, p.intent, *planner.route(p), *(x.isoformat() for x in p.days or (never, never)), ",".join(p.excluded), p.daypart or "-", ",".join(map(str, p.weekdays)), ",".join(sorted(p.needs)), -1 if p.faces[0] is None else p.faces[0]))
+    return rows
+
+
+@query("""WITH t AS (SELECT DISTINCT role, tag FROM (SELECT 'place' AS role, source AS tag FROM documents UNION ALL SELECT 'visual', doc_kind FROM documents UNION ALL SELECT 'visual', lang FROM documents) WHERE length(tag) >= 2),
+o AS (SELECT role, tag FROM t WHERE contains('letters from the old travel album', lower(tag))),
+p AS (SELECT role, min(tag) AS tag FROM t JOIN (VALUES ('letters'), ('travel'), ('album')) w(token) ON contains(lower(tag), token) AND lower(tag) <> token GROUP BY role, token)
+SELECT role, tag FROM o UNION SELECT role, tag FROM p""")
+def query_vocabulary(spark, d):
+    """The library's own tags that a query names, by role."""
+    found = vocabulary(library(spark, d), "letters from the old travel album")
+    return spark.createDataFrame(sorted((r, t) for r, ts in found.items() for t in ts), "role string, tag string")

@@ -69,13 +69,11 @@ def parse(query: str, today: date) -> Range | None:
         return monday - timedelta(days=7), monday - timedelta(days=1)
     if re.search(r"\blast month\b", q):
         return _month(today.year, today.month - 1)
+    if re.search(r"\blast year\b", q):
+        return _year(today.year - 1)
+    if re.search(r"\bthis year\b", q):
+        return date(today.year, 1, 1), today
     month = _named_month(q)
-    season = re.search(r"spring|summer|autumn|fall|winter|봄|여름|가을|겨울", q)
-    if not month and not season and not re.search(r"half|상반기|하반기|early|late|beginning|end of|초|말|christmas|크리스마스", q):
-        if "last year" in q:
-            return _year(today.year - 1)
-        if "this year" in q:
-            return date(today.year, 1, 1), today
     if re.search(r"\brecently\b|\brecent\b|최근에", q) and not re.search(r"최근 ?\d", q):
         return back(30), today
     m = re.search(r"최근 ?(\d+) ?(일|주)", q)
@@ -124,24 +122,23 @@ def parse(query: str, today: date) -> Range | None:
     if month:
         return _month(year or today.year, month)
     y = year or today.year
-    for pattern, first, last in (
-        (r"lunar new year|설날|설 ", (1, 15), (2, 28)),
-        (r"chuseok|추석", (9, 10), (10, 15)),
-        (r"christmas|크리스마스", (12, 20), (12, 31)),
-        (r"\bspring\b|봄", (3, 1), (5, 31)),
-        (r"\bsummer\b|여름", (6, 1), (8, 31)),
-        (r"\bautumn\b|\bfall\b|가을", (9, 1), (11, 30)),
-    ):
+    for pattern, (back, first), last in _WINDOWS:
         if re.search(pattern, q):
-            return date(y, *first), date(y, *last)
-    if re.search(r"\bwinter\b|겨울", q):
-        return date(y - 1, 12, 1), date(y, 2, 28)
-    if re.search(r"first half|상반기", q):
-        return date(y, 1, 1), date(y, 6, 30)
-    if re.search(r"second half|하반기", q):
-        return date(y, 7, 1), date(y, 12, 31)
-    if re.search(r"(?:early|beginning of the) year|연초", q):
-        return date(y, 1, 1), date(y, 2, 28)
-    if re.search(r"(?:late|end of the) year|year end|연말", q):
-        return date(y, 11, 1), date(y, 12, 31)
+            return date(y - back, *first), date(y, *last)
     return _year(year) if year else None
+
+
+# What a phrase means within its year y: the years back and the first day, and the last day.
+_WINDOWS = (
+    (r"lunar new year|설날|설 ", (0, (1, 15)), (2, 28)),
+    (r"chuseok|추석", (0, (9, 10)), (10, 15)),
+    (r"christmas|크리스마스", (0, (12, 20)), (12, 31)),
+    (r"\bspring\b|봄", (0, (3, 1)), (5, 31)),
+    (r"\bsummer\b|여름", (0, (6, 1)), (8, 31)),
+    (r"\bautumn\b|\bfall\b|가을", (0, (9, 1)), (11, 30)),
+    (r"\bwinter\b|겨울", (1, (12, 1)), (2, 28)),
+    (r"first half|상반기", (0, (1, 1)), (6, 30)),
+    (r"second half|하반기", (0, (7, 1)), (12, 31)),
+    (r"(?:early|beginning of the) year|연초", (0, (1, 1)), (2, 28)),
+    (r"(?:late|end of the) year|year end|연말", (0, (11, 1)), (12, 31)),
+)
