@@ -43,6 +43,21 @@ def replace_tags(tags: DataFrame, new: DataFrame, types: tuple[str, ...] | None
     return clean_tags(old.where(~dropped).drop("_f").unionByName(new))
 
 
+def unlike_tag_sets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(file_id): files of ``new`` whose set of (tag_type, tag_value) differs from their set in ``old``; order and repeats do
+    not matter. Sets are compared by one row each."""
+    digest = lambda df, n: df.groupBy("file_id").agg(F.md5(F.to_json(F.sort_array(F.collect_set(F.struct("tag_type", "tag_value"))))).alias(n))
+    both = digest(new, "_new").join(digest(old, "_old"), "file_id", "left")
+    return both.where(~F.col("_new").eqNullSafe(F.col("_old"))).select("file_id")
+
+
+def refresh_tags(old: DataFrame, new: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """The tags after those of ``types`` were replaced for the files whose set of them changed; others are not touched."""
+    of_types = old.where(F.col("tag_type").isin(*types))
+    changed = unlike_tag_sets(of_types, new)
+    return replace_tags(old, having(new, changed, "file_id"), types)
+
+
 def merge_tag_groups(groups: list[DataFrame]) -> DataFrame:
     """Tags of several groups; of values that differ in case only the first group's spelling stays."""
     rows = None
@@ -59,6 +74,7 @@ def expand_aliases(terms: DataFrame, clusters: DataFrame) -> DataFrame:
     return terms.select("term").unionByName(clusters.join(hit, "cluster", "left_semi").select("term")).distinct()
 
 
+# Fixed values used below: statuses ready, waiting_stable, error, excluded, replaced, missing, archived, metadata_done.
 # --- incremental ingest ------------------------------------------------------------------------------------------
 
 def stability(listing: DataFrame, state: DataFrame, now: Column, window_s: int = 300) -> DataFrame:
@@ -87,6 +103,21 @@ def has_changes(listing: DataFrame, cache: DataFrame) -> bool:
     return bool(changed_dirs(listing, cache).limit(1).count())
 
 
+def saved_dirs(cache: DataFrame, listing: DataFrame, files: DataFrame) -> DataFrame:
+    """(dir, mtime_ns): the directory times to keep for the next delta scan. A directory that was read is kept with its time
+    only if all its files are settled; one with a waiting or failed file is kept as -1, so that it is read again; others stay
+    as they were. files: (dir, status)."""
+    open_ = files.groupBy("dir").agg(F.count_if(~F.col("status").isin("ready", "done") | F.col("status").isNull()).alias("n")).where("n > 0").select("dir", F.lit(True).alias("open"))
+    new = listing.join(open_, "dir", "left").select("dir", F.when(F.col("open"), F.lit(-1)).otherwise(F.col("mtime_ns")).alias("new"))
+    return cache.select("dir", F.col("mtime_ns").alias("old")).join(new, "dir", "full_outer").select("dir", F.coalesce("new", "old").alias("mtime_ns"))
+
+
+def pass_counters(upserted: DataFrame, walked: int, failed: int, missing: int) -> DataFrame:
+    """One row: what a pass scanned, created, updated (moves count here as well), moved, lost and could not read."""
+    of = lambda *outcomes: F.count_if(F.col("outcome").isin(*outcomes))
+    return upserted.agg(F.lit(walked).cast("long").alias("scanned"), of("created").alias("created"), of("refreshed", "moved").alias("updated"), of("moved").alias("moved"), F.lit(missing).cast("long").alias("missing"), F.lit(failed).cast("long").alias("failed"))
+
+
 def upsert(files: DataFrame, seen: DataFrame) -> DataFrame:
     """(file_id, path, outcome) over both sides: created, moved, refreshed; rows of another id on a path that got a new
     file are replaced; the rest is kept."""
@@ -105,10 +136,16 @@ def upsert(files: DataFrame, seen: DataFrame) -> DataFrame:
     return both.select("file_id", F.coalesce("new_path", "old_path").alias("path"), outcome.alias("outcome"))
 
 
-def mark_missing(files: DataFrame, seen: DataFrame, active_roots: list[str], walked: int, least_walked: int = 100) -> DataFrame:
+def may_mark_missing(configured: int, active: int, failed: int, walked: int, least_walked: int = 100) -> bool:
+    """Whether a walk is good enough to call files missing: some root is there, nothing failed, and enough was walked."""
+    return not (configured and not active) and failed == 0 and walked >= least_walked
+
+
+def mark_missing(files: DataFrame, seen: DataFrame, active_roots: list[str], walked: int, least_walked: int = 100, failed: int = 0, configured: int | None = None) -> DataFrame:
     """``files`` with their status after a whole walk: what an active root no longer shows is missing, what lies under
-    other roots is archived, what came back is to be analysed again. A walk of too few files changes nothing."""
-    if walked < least_walked:
+    other roots is archived, what came back is to be analysed again. A walk that failed in part, of too few files or without
+    any of the configured roots changes nothing, and files are judged only where the walk had a root at all."""
+    if not may_mark_missing(len(active_roots) if configured is None else configured, len(active_roots), failed, walked, least_walked):
         return files
     there = seen.select(F.col("path").alias("_p")).distinct()
     on = F.lit(False)
@@ -181,6 +218,66 @@ def unmerge_people(faces: DataFrame, source: int, target: int) -> DataFrame:
     return faces.withColumns({"person_id": F.when(hit, F.lit(source)).otherwise(F.col("person_id")), "merged_from": F.when(hit, F.lit(None)).otherwise(F.col("merged_from"))})
 
 
+def assign_faces(faces: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Faces after some were given to a person by hand; chosen: (face_id, to), a null ``to`` takes the face from everybody.
+    A face that was chosen twice goes to the smallest person."""
+    to = chosen.groupBy("face_id").agg(F.min("to").alias("_to"), F.lit(True).alias("_hit"))
+    rows = faces.join(to, "face_id", "left")
+    return rows.withColumns({"person_id": F.when(F.col("_hit"), F.col("_to")).otherwise(F.col("person_id")), "merged_from": F.when(F.col("_hit"), F.lit(None)).otherwise(F.col("merged_from"))}).drop("_to", "_hit")
+
+
+def add_person(presence: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(file_id, person_id, by_hand): people in files after some were added by hand; who is there already stays as found."""
+    new = wanted.select("file_id", "person_id").distinct().join(presence.select("file_id", "person_id"), ["file_id", "person_id"], "left_anti")
+    return presence.select("file_id", "person_id", "by_hand").unionByName(new.withColumn("by_hand", F.lit(True)))
+
+
+def remove_person(presence: DataFrame, unwanted: DataFrame) -> DataFrame:
+    """The people in files after some were taken out by hand."""
+    return presence.join(unwanted.select("file_id", "person_id").distinct(), ["file_id", "person_id"], "left_anti")
+
+
+def fill_labels(labels: DataFrame, tags: DataFrame) -> DataFrame:
+    """The person tags after drift was mended: lacking ones added, stale ones taken away, other tags as they are."""
+    drift = label_drift(labels, tags)
+    stale = drift.where("problem = 'stale'").select("file_id", F.lit("person").alias("tag_type"), F.col("label").alias("tag_value"))
+    lacking = drift.where("problem = 'lacking'").select("file_id", F.lit("person").alias("tag_type"), F.col("label").alias("tag_value"))
+    return tags.join(stale, ["file_id", "tag_type", "tag_value"], "left_anti").unionByName(lacking)
+
+
+def shown_people(counts: DataFrame, most_files: int = 10, most_faces: int = 10) -> DataFrame:
+    """``counts`` (person_id, name, files, faces) of people with a face, with ``shown``: named, or in more files or more faces
+    than clusters of noise have."""
+    named = ~F.coalesce(F.col("name").like("person-%"), F.lit(True))
+    return counts.where("faces > 0").withColumn("shown", named | (F.col("files") > most_files) | (F.col("faces") > most_faces))
+
+
+def vector_work(files: DataFrame, vectors: DataFrame, model: str, version: str) -> DataFrame:
+    """(file_id, source): files without a vector of this model and version, and what to encode: the original, or the
+    thumbnail where the original is gone. vectors: (file_id, model, version)."""
+    held = vectors.where((F.col("model") == model) & (F.col("version") == version))
+    left = files.join(held.select("file_id"), "file_id", "left_anti")
+    return left.select("file_id", F.coalesce("original", "thumbnail").alias("source")).where("source is not null")
+
+
+def merge_lines(first: Column, second: Column, most: int = 1000) -> Column:
+    """The lines of two readings of one image: those of the first, then new ones of the second; blank lines, and lines that
+    differ in case or blanks alone, count once; at most ``most`` lines, as a reading has."""
+    lines = F.transform(F.split(F.concat_ws("\n", first, second), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    low = F.transform(lines, F.lower)
+    kept = F.filter(F.transform(lines, lambda x, i: F.when((x != "") & (F.array_position(low, F.lower(x)) == i + 1), x)), lambda x: x.isNotNull())
+    return F.array_join(F.slice(kept, 1, most), "\n")
+
+
+def settle_jobs(jobs: DataFrame, now: Column, stale_s: int = 300) -> DataFrame:
+    """``jobs`` (job_id, status, beat_at) with ``settled``: of the running ones the oldest with a fresh heartbeat goes on, a
+    running one without a heartbeat within ``stale_s`` is canceled, other running ones wait; the rest stays."""
+    fresh = (F.col("status") == "running") & (F.col("beat_at") > now - F.make_dt_interval(secs=F.lit(stale_s)))
+    one = jobs.where(fresh).agg(F.min("job_id").alias("_one"))  # one row
+    settled = F.when(F.col("status") != "running", F.col("status")).when(~F.coalesce(fresh, F.lit(False)), "canceled").when(F.col("job_id") == F.col("_one"), "running").otherwise("queued")
+    return jobs.crossJoin(F.broadcast(one)).withColumn("settled", settled).drop("_one")
+
+
 def union_aliases(own: Column, other: Column, name: Column, most: int = 20, length: int = 128) -> Column:
     """Aliases of both and the absorbed name, without repeats, shortened and capped."""
     every = F.array_union(F.coalesce(own, F.array().cast("array<string>")), F.array_union(F.array(name), F.coalesce(other, F.array().cast("array<string>"))))

@@ -2,43 +2,30 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterloom.functions.predicates import haversine
-from shutterloom.operators.spatial import valid_points
-
-
-def _cells(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
-    return F.floor((lat + 90) / size).cast("int"), F.floor((lon + 180) / size).cast("int")
+from shutterloom.operators.spatial import in_regions, nearest_other, valid_points
 
 
 def nearest_place(points: DataFrame, places: DataFrame, km: float = 90.0) -> DataFrame:
     """(id, place_id, km) of the nearest place within ``km``; ties go to the smaller place id.
 
-    points: (id, lat, lon), places: (place_id, lat, lon). Points meet the places of their cell and the cells around;
-    each place is copied to the cells its circle reaches, over the 180th meridian as well, and points are reduced to
-    distinct positions first. The best pair is kept by an aggregate that combines before the shuffle.
-    """
-    size = 1.0
-    p = points.select("lat", "lon").distinct()
-    y, x = _cells(F.col("lat"), F.col("lon"), size)
-    p = p.select("lat", "lon", y.alias("cy"), F.pmod(x, F.lit(int(360 / size))).alias("cx"))
-    reach = math.degrees(km / 6371.0088)
-    q = places.select("place_id", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
-    rows = F.sequence(F.floor((F.col("q_lat") - reach + 90) / size).cast("int"), F.floor((F.col("q_lat") + reach + 90) / size).cast("int"))
-    wide = F.least(F.lit(180.0), F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(math.radians(reach))) / F.greatest(F.cos(F.radians(F.abs("q_lat"))), F.lit(1e-9)))))) + 1e-6
-    near_pole = F.abs("q_lat") + reach >= 90
-    span = F.when(near_pole, F.sequence(F.lit(0), F.lit(int(360 / size) - 1))).otherwise(
-        F.sequence(F.floor((F.col("q_lon") - wide + 180) / size).cast("int"), F.floor((F.col("q_lon") + wide + 180) / size).cast("int"))
-    )
-    q = q.select("place_id", "q_lat", "q_lon", F.explode(rows).alias("cy"), span.alias("_s")).select("place_id", "q_lat", "q_lon", "cy", F.explode(F.array_distinct(F.transform("_s", lambda v: F.pmod(v, F.lit(int(360 / size)))))).alias("cx"))
-    d = haversine(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon"))
-    met = p.join(q, ["cy", "cx"]).select("lat", "lon", F.struct(d.alias("km"), F.col("place_id")).alias("s")).where(F.col("s.km") <= km)
-    best = met.groupBy("lat", "lon").agg(F.min("s").alias("s"))
-    return points.join(best, ["lat", "lon"]).select("id", F.col("s.place_id").alias("place_id"), F.col("s.km").alias("km"))
+    points: (id, lat, lon), places: (place_id, lat, lon). Distinct positions ask the k-d index, in growing radii."""
+    best = nearest_other(points, places.select(F.col("place_id").alias("key"), "lat", "lon"), km)
+    return points.join(best, ["lat", "lon"]).select("id", F.col("key").alias("place_id"), "km")
+
+
+def place_names(points: DataFrame, cities: DataFrame, regions: DataFrame, km: float = 90.0) -> DataFrame:
+    """(id, name, how): the name of the nearest city within ``km``, else of the region around a point, else null: each source
+    is asked in turn. cities: (place_id, name, lat, lon), regions: (code, bbox); of several regions the first code counts."""
+    near = nearest_place(points, cities, km).join(cities.groupBy("place_id").agg(F.min("name").alias("city")), "place_id").select("id", "city")
+    # positions have numbers here, so that points at one place are looked up once
+    at = points.select("lat", "lon").distinct().withColumn("spot", F.xxhash64("lat", "lon"))
+    held = in_regions(at, "spot", "lat", "lon", regions, "code", "bbox").groupBy("id").agg(F.min("key").alias("region")).withColumnRenamed("id", "spot")
+    rows = points.join(near, "id", "left").join(at, ["lat", "lon"]).join(held, "spot", "left")
+    how = F.when(F.col("city").isNotNull(), "city").when(F.col("region").isNotNull(), "region").otherwise("none")
+    return rows.select("id", F.coalesce("city", "region").alias("name"), how.alias("how"))
 
 
 def gps(files: DataFrame) -> DataFrame:

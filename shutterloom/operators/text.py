@@ -92,6 +92,14 @@ class TextIndex:
         return rows.groupBy("id").agg((-F.sum(part)).alias("score"))
 
 
+def best_of(*scored: DataFrame) -> DataFrame:
+    """(id, score): the smallest score of each id over several indexes, such as one of words and one of letter groups."""
+    rows = None
+    for df in scored:
+        rows = df.select("id", "score") if rows is None else rows.unionByName(df.select("id", "score"))
+    return rows.groupBy("id").agg(F.min("score").alias("score"))
+
+
 def match_kind(text: Column, query: str) -> Column:
     """phrase, word or null: how a text holds the query itself, or all of its tokens."""
     words = [w.lower() for w in query.split()]

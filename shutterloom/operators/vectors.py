@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shutterloom.functions.predicates import cosine
+from shutterloom.session import stored_blocks
 
 
 def nearest(df: DataFrame, id_col: str, vector_col: str, queries: list[list[float]], k: int | None = None, where=None) -> DataFrame:
@@ -23,6 +24,14 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, queries: list[list[floa
     return out if k is None else out.orderBy("distance", "id").limit(k)
 
 
+def over_fetch(df: DataFrame, id_col: str, vector_col: str, query: list[float], k: int, where, factor: int = 2) -> DataFrame:
+    """(id, distance): the ``k`` nearest that meet ``where``, out of the ``factor`` * k nearest of all, as an index without
+    filters answers; may give fewer than k. Distances are floored at 0."""
+    first = nearest(df, id_col, vector_col, [query], factor * k)
+    kept = df.where(where).select(F.col(id_col).alias("id"))
+    return first.join(kept, "id", "left_semi").select("id", F.greatest(F.lit(0.0), "distance").alias("distance")).orderBy("distance", "id").limit(k)
+
+
 def mean_vectors(df: DataFrame, group_col: str, vector_col: str) -> DataFrame:
     """(group, centroid, n): the normalised mean of the unit vectors of each group, summed by dimension before the
     shuffle, so a group of any size is only its partial sums."""
@@ -34,39 +43,49 @@ def mean_vectors(df: DataFrame, group_col: str, vector_col: str) -> DataFrame:
     return arrays.select("group", F.transform(raw, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm)).alias("centroid"), "n")
 
 
-#: Centroids or concepts that are sent to the tasks at once; more are handled in blocks of about this size.
+#: Centroids or concepts that are sent to the tasks at once; more lie in the shared folder in blocks of about this size.
 CLASS_BLOCK = 4096
 
 
 def _against(df: DataFrame, id_col: str, vector_col: str, classes: DataFrame, keep: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(id, key, similarity) of the pairs that ``keep`` picks from each block's matrix of cosines; classes: (key,
-    centroid). The classes are a query set: they go to the tasks in blocks, and rows meet them as matrix products."""
+    centroid). The classes are a query set: rows are read once and meet them block by block as matrix products."""
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
     schema = T.StructType([rows.schema["id"], classes.schema["key"], T.StructField("similarity", T.DoubleType())])
-    blocks = max(1, math.ceil(classes.count() / (0.9 * CLASS_BLOCK)))
-    out = None
-    for n in range(blocks):
-        part = classes if blocks == 1 else classes.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == n)
-        known = sorted(((r["key"], np.array(r["centroid"], float)) for r in part.toLocalIterator() if r["centroid"]), key=lambda x: x[0])
-        by = {}
-        for k, v in known:
-            by.setdefault(len(v), []).append((k, v / (np.linalg.norm(v) or 1.0)))
-
-        def meet(batches: Iterator[pd.DataFrame], by=by) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                sizes = b["v"].map(len)
-                for size, group in by.items():
-                    own = b[sizes == size]
+    known = classes.select("key", F.col("centroid").cast("array<double>").alias("centroid")).where("centroid is not null and size(centroid) > 0")
+    blocks = max(1, math.ceil(known.count() / (0.9 * CLASS_BLOCK)))
+
+    def sizes(part: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        part = part.sort_values("key")
+        by = part["centroid"].map(len)
+        out = []
+        for size in by.unique():
+            x = np.stack(part["centroid"][by == size].to_numpy()).astype(float)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            out.append((size, part["key"][by == size].to_numpy(), x / np.where(norm == 0, 1.0, norm)))
+        return out
+
+    if blocks == 1:
+        sent = [sizes(known.toPandas())]  # one block
+        read = lambda: sent
+    else:
+        _, frames = stored_blocks(known, blocks)
+        read = lambda: map(sizes, frames())
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            long = b["v"].map(len)
+            for block in read():
+                for size, keys, centroids in block:
+                    own = b[long == size]
                     if len(own):
                         x = np.stack(own["v"].to_numpy())
                         norm = np.linalg.norm(x, axis=1, keepdims=True)
-                        i, j = keep((x / np.where(norm == 0, 1.0, norm)) @ np.array([v for _, v in group]).T)
-                        s = np.einsum("nd,nd->n", x[i] / np.where(norm == 0, 1.0, norm)[i], np.array([group[q][1] for q in j]).reshape(len(j), size))
-                        yield pd.DataFrame({"id": own["id"].to_numpy()[i], "key": [group[q][0] for q in j], "similarity": s})
+                        x = x / np.where(norm == 0, 1.0, norm)
+                        i, j = keep(x @ centroids.T)
+                        yield pd.DataFrame({"id": own["id"].to_numpy()[i], "key": keys[j], "similarity": np.einsum("nd,nd->n", x[i], centroids[j])})
 
-        met = rows.mapInPandas(meet, schema)
-        out = met if out is None else out.unionByName(met)
-    return out
+    return rows.mapInPandas(meet, schema)
 
 
 def closest_centroid(df: DataFrame, id_col: str, vector_col: str, centroids: DataFrame, key_col: str = "group") -> DataFrame:

@@ -2,8 +2,7 @@
 
 Tags are derived from media_files: the folder (auto_event), the kind (auto_object), the volume (place) and the suffix
 (custom). Faces and people are played by lineitem and supplier, vectors and their groups by embeddings, the search log
-by events. Every query runs over its whole tables, except alias_clusters and resolve_labels: their SQL states a sample, and
-alias_clusters_all and resolve_labels_all do the whole job.
+by events. Every query runs over its whole tables.
 """
 
 from __future__ import annotations
@@ -17,10 +16,10 @@ from pyspark.sql import functions as F
 from shutterloom.functions import predicates as P
 from shutterloom.operators import boxes, catalog, hierarchy, places, ranking, text, vectors
 from shutterloom.operators.components import components
-from shutterloom.operators.spatial import in_regions
+from shutterloom.operators.spatial import in_polygons, in_regions
 from shutterloom.plans import planner
 from shutterloom.plans.search import resolve_people, search, suggest, vocabulary
-from shutterloom.session import remove, shared_folder
+from shutterloom.session import cut_lineage, remove, shared_folder
 from shutterloom.sources.listing import sample_per_root
 from shutterloom.sources.tables import table
 from shutterloom.streaming import sync
@@ -167,10 +166,11 @@ def all_persons(spark, d):
     return by.where(F.array_contains("p", "1") & F.array_contains("p", "2")).select("file_id")
 
 
-@query("WITH k(cluster, term) AS (VALUES (0, 'sea'), (0, 'beach'), (0, 'coast'), (1, 'car'), (1, 'vehicle')), a(term) AS (VALUES ('coast'), ('tree')) SELECT term FROM a UNION SELECT term FROM k WHERE cluster IN (SELECT cluster FROM k WHERE term IN (SELECT term FROM a))")
+@query(r"WITH k AS (SELECT DISTINCT media_kind AS cluster, lower(regexp_extract(filename, '\.([A-Za-z0-9]+)$', 1)) AS term FROM media_files WHERE media_kind IS NOT NULL AND regexp_matches(filename, '\.[A-Za-z0-9]+$')), a(term) AS (VALUES ('jpg'), ('tree')) SELECT term FROM a UNION SELECT term FROM k WHERE cluster IN (SELECT cluster FROM k WHERE term IN (SELECT term FROM a))")
 def alias_expand(spark, d):
-    clusters = spark.createDataFrame([(0, "sea"), (0, "beach"), (0, "coast"), (1, "car"), (1, "vehicle")], "cluster int, term string")
-    return catalog.expand_aliases(spark.createDataFrame([("coast",), ("tree",)], "term string"), clusters)
+    """Suffixes of one kind of file stand for each other."""
+    m = table(spark, d, "media_files").select(F.col("media_kind").alias("cluster"), F.lower(F.regexp_extract("filename", r"\.([A-Za-z0-9]+)$", 1)).alias("term"))
+    return catalog.expand_aliases(spark.createDataFrame([("jpg",), ("tree",)], "term string"), m.where("cluster is not null and term <> ''").distinct())
 
 
 # --- aggregations ---
@@ -216,9 +216,9 @@ def place_facets(spark, d):
 @query(_TAGS + ", c AS (SELECT tag_type, tag_value, count(*) AS n FROM t GROUP BY 1, 2) SELECT tag_type, tag_value, n, lag(tag_type) OVER (ORDER BY tag_type, n DESC, tag_value) IS DISTINCT FROM tag_type AS opens FROM c")
 def facet_sections(spark, d):
     by = tags(spark, d).groupBy("tag_type", "tag_value").agg(F.count("*").alias("n"))
-    # a section opens at its own first row: no window over all rows is needed
-    w = Window.partitionBy("tag_type").orderBy(F.desc("n"), "tag_value")
-    return by.withColumn("opens", F.row_number().over(w) == 1)
+    # a section opens at its own first row, which partial aggregates find
+    first = by.groupBy("tag_type").agg(F.min(F.struct(-F.col("n"), "tag_value"))["tag_value"].alias("first"))
+    return by.join(first, "tag_type").withColumn("opens", F.col("tag_value") == F.col("first")).drop("first")
 
 
 @query("SELECT s_suppkey AS person_id, s_name AS name, count(l_orderkey) AS faces, count(DISTINCT l_orderkey) FILTER (o_orderstatus <> 'P') AS files FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
@@ -242,10 +242,11 @@ def nested_counts(spark, d):
     return faces(spark, d).groupBy("file_id").agg(F.count("*").alias("faces"), F.countDistinct("person_id").alias("people"))
 
 
-@query("SELECT merged_into_id AS target_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS sources FROM people WHERE merged_into_id IS NOT NULL GROUP BY 1")
+@query("SELECT merged_into_id AS target_id, id AS source_id, count(*) OVER (PARTITION BY merged_into_id) AS sources FROM people WHERE merged_into_id IS NOT NULL")
 def merged_sources(spark, d):
-    p = table(spark, d, "people").where("merged_into_id is not null")
-    return p.groupBy(F.col("merged_into_id").alias("target_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("sources"))
+    """Who was merged into whom, one row each, with their number: links are skewed, so nothing is gathered in lists."""
+    p = table(spark, d, "people").where("merged_into_id is not null").select(F.col("merged_into_id").alias("target_id"), F.col("id").alias("source_id"))
+    return p.join(p.groupBy("target_id").agg(F.count("*").alias("sources")), "target_id")
 
 
 @query("SELECT event_type, count(*) AS runs, sum(value) AS seconds, round(100.0 * sum(value) / sum(sum(value)) OVER (), 3) AS share FROM events GROUP BY 1")
@@ -486,7 +487,7 @@ def fuzzy_bigram_jaccard(spark, d):
 
 @query(r"""
 WITH m AS (SELECT file_id, filename, current_path AS path, exif_datetime AS taken, updated_at FROM media_files),
-x AS (SELECT file_id, min_by(text, doc_id) AS text, max(updated_at) AS text_at FROM documents WHERE file_id IS NOT NULL GROUP BY 1),
+x AS (SELECT file_id, string_agg(text, chr(10) ORDER BY doc_id) AS text, max(updated_at) AS text_at FROM documents WHERE file_id IS NOT NULL GROUP BY 1),
 g AS (SELECT file_id, list_sort(list_distinct(list({'t': tag_type, 'v': tag_value}))) AS g FROM (""" + _TAGS.strip() + r""" SELECT * FROM t) GROUP BY 1),
 l AS (SELECT m.*, text, text_at, coalesce(list_transform(g, lambda e: e.v), []) AS v FROM m LEFT JOIN g USING (file_id) LEFT JOIN x USING (file_id)),
 k AS (SELECT *, list_filter(list_concat([filename, path, text], v), lambda e: e IS NOT NULL AND trim(e) <> '') AS kw FROM l),
@@ -495,7 +496,8 @@ SELECT file_id, md5(array_to_string(once, chr(10))) AS keyword_digest, greatest(
 """)
 def search_document_build(spark, d):
     m = table(spark, d, "media_files").select("file_id", "filename", F.col("current_path").alias("path"), F.col("exif_datetime").alias("taken"), "updated_at")
-    x = table(spark, d, "documents").where("file_id is not null").groupBy("file_id").agg(F.min_by("text", "doc_id").alias("text"), F.max("updated_at").alias("updated_at"))
+    x = table(spark, d, "documents").where("file_id is not null").groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("t"), F.max("updated_at").alias("updated_at"))
+    x = x.withColumn("text", F.array_join(F.transform("t", lambda e: e["text"]), "\n"))  # all texts of a file are its document's
     docs = catalog.build_documents(m, tags(spark, d), x)
     return docs.select("file_id", F.md5("keyword_text").alias("keyword_digest"), "source_at")
 
@@ -573,6 +575,10 @@ c AS (SELECT DISTINCT new_path FROM j WHERE old_path IS NULL)
 SELECT file_id, coalesce(new_path, old_path) AS path, CASE WHEN old_path IS NULL THEN 'created' WHEN new_path <> old_path THEN 'moved' WHEN new_path IS NOT NULL THEN 'refreshed' WHEN old_path IN (SELECT new_path FROM c) THEN 'replaced' ELSE 'kept' END AS outcome FROM j
 """)
 def upsert_catalog(spark, d):
+    return upsert_rows(spark, d)
+
+
+def upsert_rows(spark, d):
     m = table(spark, d, "media_files")
     old = m.where("updated_at < timestamp_ntz '2021-01-01'").select("file_id", F.col("current_path").alias("path"))
     moved = F.when(F.col("size_bytes") % 7 == 0, F.concat("current_path", F.lit(".moved"))).otherwise(F.col("current_path"))
@@ -584,7 +590,7 @@ def upsert_catalog(spark, d):
 def mark_missing(spark, d):
     m = table(spark, d, "media_files").select("file_id", F.col("current_path").alias("path"), "status")
     seen = table(spark, d, "scan_observations").where("current_path is not null").select(F.col("current_path").alias("path"))
-    return catalog.mark_missing(m, seen, ["/volumes/nas-home/photos"], walked=100_000).select("file_id", "status")
+    return catalog.mark_missing(m, seen, ["/volumes/nas-home/photos"], walked=seen.count()).select("file_id", "status")
 
 
 _NOW = "TIMESTAMP '2020-06-01 12:00:00'"
@@ -610,7 +616,7 @@ _DIRS = "SELECT regexp_extract(current_path, '^(.*)/', 1) AS dir, max(mtime_ns)
 @query(f"WITH l AS ({_DIRS.format('scan_observations')}), c AS ({_DIRS.format('media_files')}) SELECT l.dir, l.mtime_ns FROM l LEFT JOIN c USING (dir) WHERE c.mtime_ns IS NULL OR c.mtime_ns <> l.mtime_ns")
 def delta_dirs(spark, d):
     dirs = lambda n: table(spark, d, n).where("current_path is not null").groupBy(F.regexp_extract("current_path", "^(.*)/", 1).alias("dir")).agg(F.max("mtime_ns").alias("mtime_ns"))
-    return catalog.changed_dirs(dirs("scan_observations").where("mtime_ns is not null or mtime_ns is null"), dirs("media_files"))
+    return catalog.changed_dirs(dirs("scan_observations"), dirs("media_files"))
 
 
 # --- more enrichment and upkeep ---
@@ -622,14 +628,10 @@ def ocr_gate(spark, d):
     return m.select("file_id", P.wants_text_reading(F.col("filename"), edges, bright).alias("read"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey % 400 AS b FROM lineitem WHERE l_partkey % 400 < 60 AND l_suppkey <= 40 AND l_quantity = 7), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM u UNION SELECT u.b, r.seen FROM r JOIN u ON r.node = u.a) SELECT node, min(seen) AS component FROM r GROUP BY 1")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.a, min(n.component) FROM u JOIN c AS n ON u.b = n.node JOIN recurring.c AS o ON o.node = u.a WHERE n.component < o.component GROUP BY u.a)
+SELECT node, component FROM c""")
 def alias_clusters(spark, d):
-    rows = table(spark, d, "lineitem").where("l_partkey % 400 < 60 and l_suppkey <= 40 and l_quantity = 7")
-    return components(rows.select(F.col("l_suppkey").alias("a"), (F.lit(1_000_000) + F.col("l_partkey") % 400).alias("b")))
-
-
-@query()
-def alias_clusters_all(spark, d):
     """Components over every supplier-part edge: suppliers are the even nodes, parts the odd ones, so keys never meet."""
     rows = table(spark, d, "lineitem")
     return components(rows.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
@@ -722,15 +724,6 @@ def media_countries(spark, d):
     return g.join(at, ["lat", "lon"]).join(held, F.col("spot") == F.col("id")).select("file_id", F.col("key").alias("code"))
 
 
-@query("WITH p AS (SELECT id, lower(trim(display_name)) AS k FROM people), w AS (SELECT DISTINCT display_name AS name FROM people WHERE id % 2 = 0 UNION SELECT 'nobody at all') SELECT w.name, coalesce(min(p.id), -1) AS person_id FROM w LEFT JOIN p ON lower(trim(w.name)) = p.k GROUP BY 1")
-def resolve_labels(spark, d):
-    p = table(spark, d, "people")
-    wanted = p.where("id % 2 = 0").select(F.col("display_name").alias("name")).unionByName(spark.createDataFrame([("nobody at all",)], "name string"))
-    none = p.limit(0).select("id", F.col("id").alias("root_id"))
-    found = catalog.resolve_labels(p.select("id", F.col("display_name").alias("label")), none, wanted)
-    return found.withColumn("person_id", F.coalesce("person_id", F.lit(-1)))  # -1: to be created
-
-
 @query("""
 WITH RECURSIVE k AS (SELECT id, min(merged_into_id) AS up FROM people WHERE id IS NOT NULL GROUP BY 1),
 s AS (SELECT a.id, b.id AS up FROM k a JOIN k b ON a.up = b.id),
@@ -741,7 +734,7 @@ l AS (SELECT * FROM n WHERE trim(name) <> ''),
 h AS (SELECT lower(trim(name)) AS label, arg_min(coalesce(root, id), (up IS NOT NULL, id)) AS person_id FROM l JOIN k USING (id) LEFT JOIN e USING (id) GROUP BY 1)
 SELECT w.name, coalesce(h.person_id, -1) AS person_id FROM (SELECT DISTINCT name FROM l UNION SELECT 'nobody at all') w LEFT JOIN h ON lower(trim(w.name)) = h.label
 """)
-def resolve_labels_all(spark, d):
+def resolve_labels(spark, d):
     """Every display name and alias, followed through the merges; a cycle of merges stands for its smallest id."""
     p = table(spark, d, "people")
     own = F.coalesce(F.from_json("aliases_json", "array<string>"), F.array().cast("array<string>"))
@@ -810,6 +803,220 @@ def iou_match(spark, d):
     return boxes.greedy_match(b, moved).withColumn("overlap", F.round("overlap", 9))
 
 
+@query(_GPS + ", c AS (SELECT DISTINCT city_id, latitude AS la, longitude AS lo FROM cities WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT isnan(latitude) AND NOT isnan(longitude)), p AS (SELECT file_id, city_id, 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(la - lat) / 2), 2) + cos(radians(lat)) * cos(radians(la)) * pow(sin(radians(lo - lon) / 2), 2)))) AS km FROM l JOIN c ON la BETWEEN lat - 0.05 AND lat + 0.05), r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY km, city_id) AS n FROM p WHERE km <= 2), m AS (SELECT city_id, min(name) AS name FROM cities GROUP BY 1), k AS (SELECT file_id, min(code) AS code FROM l JOIN countries k ON l.lat BETWEEN k.bbox[2] AND k.bbox[4] AND CASE WHEN k.bbox[1] <= k.bbox[3] THEN l.lon BETWEEN k.bbox[1] AND k.bbox[3] ELSE l.lon >= k.bbox[1] OR l.lon <= k.bbox[3] END GROUP BY 1) SELECT l.file_id, coalesce(m.name, k.code, '-') AS name, CASE WHEN m.name IS NOT NULL THEN 'city' WHEN k.code IS NOT NULL THEN 'region' ELSE 'none' END AS how FROM l LEFT JOIN (SELECT * FROM r WHERE n = 1) r ON l.file_id = r.file_id LEFT JOIN m ON r.city_id = m.city_id LEFT JOIN k ON l.file_id = k.file_id")
+def place_fallback(spark, d):
+    """The city within 2 km, else the country around, else nothing."""
+    g = places.gps(table(spark, d, "media_files")).select(F.col("file_id").alias("id"), "lat", "lon")
+    c = table(spark, d, "cities")
+    found = places.place_names(g, places.places_of(c).join(c.select(F.col("city_id").alias("place_id"), "name").distinct(), "place_id"), table(spark, d, "countries"), 2.0)
+    return found.select(F.col("id").alias("file_id"), F.coalesce("name", F.lit("-")).alias("name"), "how")
+
+
+@query("""WITH c AS (SELECT DISTINCT city_id, latitude AS la, longitude AS lo FROM cities WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT isnan(latitude) AND NOT isnan(longitude)),
+b AS (SELECT code, bbox[1] AS x1, bbox[2] AS y1, bbox[3] AS x2, bbox[4] AS y2 FROM countries WHERE bbox IS NOT NULL AND bbox[1] < bbox[3])
+SELECT DISTINCT city_id, code FROM c JOIN b ON abs(lo - (x1 + x2) / 2) / ((x2 - x1) / 2) + abs(la - (y1 + y2) / 2) / ((y2 - y1) / 2) <= 1
+AND NOT (abs(lo - (x1 + x2) / 2) < (x2 - x1) / 8 AND abs(la - (y1 + y2) / 2) < (y2 - y1) / 8)""")
+def cities_in_polygons(spark, d):
+    """Cities in the diamond of each country's box, without a box around its middle: polygons with holes."""
+    b = table(spark, d, "countries").where("bbox is not null and bbox[0] < bbox[2]").select("code", *[F.col("bbox")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+    x, y, w, h = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, (F.col("x2") - F.col("x1")) / 8, (F.col("y2") - F.col("y1")) / 8
+    outer = F.array(F.array(F.col("x1"), y), F.array(x, F.col("y1")), F.array(F.col("x2"), y), F.array(x, F.col("y2")))
+    hole = F.array(F.array(x - w, y - h), F.array(x + w, y - h), F.array(x + w, y + h), F.array(x - w, y + h))
+    rings = b.select("code", F.lit(0).alias("part"), F.posexplode(F.array(outer, hole)).alias("ring", "points"))
+    return in_polygons(table(spark, d, "cities"), "city_id", "latitude", "longitude", rings).select(F.col("id").alias("city_id"), F.col("key").alias("code"))
+
+
+# --- rules of people, passes and upkeep ---
+
+_PEOPLE = "WITH c AS (SELECT s_suppkey AS person_id, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE 'person-' || s_suppkey END AS name, count(l_orderkey) AS faces, count(DISTINCT l_orderkey) AS files FROM supplier LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 48) ON s_suppkey = l_suppkey GROUP BY 1, 2) "
+
+
+def _people(spark, d):
+    f = table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_orderkey").alias("file_id"), F.col("l_suppkey").alias("person_id"))
+    name = F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise(F.concat(F.lit("person-"), "s_suppkey"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("person_id"), name.alias("name"))
+    return s.join(f, "person_id", "left").groupBy("person_id", "name").agg(F.count("file_id").alias("faces"), F.countDistinct("file_id").alias("files"))
+
+
+@query(_PEOPLE + "SELECT person_id, faces, files, name NOT LIKE 'person-%' OR files > 10 OR faces > 10 AS shown FROM c WHERE faces > 0")
+def people_shown(spark, d):
+    return catalog.shown_people(_people(spark, d)).select("person_id", "faces", "files", "shown")
+
+
+@query(_PEOPLE + "SELECT count(*) AS hidden, coalesce(sum(faces), 0)::BIGINT AS faces FROM c WHERE faces > 0 AND name LIKE 'person-%' AND files <= 10 AND faces <= 10")
+def people_hidden(spark, d):
+    return catalog.shown_people(_people(spark, d)).where("not shown").agg(F.count("*").alias("hidden"), F.coalesce(F.sum("faces"), F.lit(0)).alias("faces"))
+
+
+@query(_PEOPLE + "SELECT person_id, faces FROM c WHERE faces >= 5 OR faces > 0 AND name NOT LIKE 'person-%'")
+def people_five_or_named(spark, d):
+    return _people(spark, d).where((F.col("faces") >= 5) | (F.col("faces") > 0) & ~F.col("name").like("person-%")).select("person_id", "faces")
+
+
+@query("WITH t AS (SELECT count(*) FILTER (media_kind = 'image') AS n, count(*) FILTER (status = 'analysis_done') AS done, count(*) FILTER (status = 'error') AS failed, count(*) FILTER (status IN ('missing', 'replaced', 'excluded')) AS gone FROM media_files) SELECT n AS images, done, failed, greatest(0, n - done - failed - gone) AS waiting, greatest(0, n - gone) AS visible, greatest(0, done - gone) AS usable FROM t")
+def analysis_floors(spark, d):
+    s = F.col("status")
+    t = table(spark, d, "media_files").agg(F.count_if(F.col("media_kind") == "image").alias("images"), F.count_if(s == "analysis_done").alias("done"), F.count_if(s == "error").alias("failed"), F.count_if(s.isin(*P.HIDDEN)).alias("gone"))
+    floor = lambda c: F.greatest(F.lit(0), c)
+    return t.select("images", "done", "failed", floor(F.col("images") - F.col("done") - F.col("failed") - F.col("gone")).alias("waiting"), floor(F.col("images") - F.col("gone")).alias("visible"), floor(F.col("done") - F.col("gone")).alias("usable"))
+
+
+@query("SELECT * FROM (VALUES ('hybrid', 1::BIGINT, 1::BIGINT), ('ocr', 3::BIGINT, 3::BIGINT), ('semantic', 9::BIGINT, 9::BIGINT)) v(mode, queries, passed) UNION ALL SELECT 'mixed mode', 1, 1")
+def benchmark_summary(spark, d):
+    """Canned queries by the mode they should lead to, and how many do: counts of passes and failures."""
+    wanted = {"screenshot of chat": "hybrid", "at least 4 people in april 2 years ago": "mixed mode", "receipt from yesterday": "ocr", "bridge last year without receipt weekend": "ocr", "invoice 2023-04": "ocr"}
+    rows = [(wanted.get(r[0], "semantic"), r[3] == {"mixed mode": "hybrid"}.get(wanted.get(r[0]), wanted.get(r[0], "semantic"))) for r in _plans()]
+    return spark.createDataFrame(rows, "mode string, ok boolean").groupBy("mode").agg(F.count("*").alias("queries"), F.count_if("ok").alias("passed"))
+
+
+_PASS = """WITH o AS (SELECT file_id, current_path AS old_path FROM media_files WHERE updated_at < TIMESTAMP '2021-01-01'),
+n AS (SELECT file_id, CASE WHEN size_bytes % 7 = 0 THEN current_path || '.moved' ELSE current_path END AS new_path FROM media_files WHERE updated_at >= TIMESTAMP '2019-01-01'),
+j AS (SELECT old_path, new_path FROM o FULL JOIN n ON o.file_id = n.file_id) """
+
+
+@query(_PASS + """SELECT (SELECT count(*) FROM scan_observations) AS scanned, count(*) FILTER (old_path IS NULL) AS created, count(*) FILTER (old_path IS NOT NULL AND new_path IS NOT NULL) AS updated, count(*) FILTER (old_path <> new_path) AS moved,
+(SELECT count(*) FROM media_files WHERE status = 'missing') AS missing, (SELECT count(*) FROM scan_observations WHERE status = 'error') AS failed FROM j""")
+def pass_counters(spark, d):
+    m, o = table(spark, d, "media_files"), table(spark, d, "scan_observations").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("bad")).first()
+    return catalog.pass_counters(upsert_rows(spark, d), o.n, o.bad, m.where("status = 'missing'").count())
+
+
+@query(_TAGS + ", r AS (SELECT m.file_id, max((lower(tag_value) = 'jpg')::INT) AS a, max((tag_type = 'auto_object')::INT) AS b, max((tag_type = 'custom')::INT) AS c, any_value(exif_datetime) AS seen FROM t JOIN media_files m ON t.file_id = m.file_id WHERE lower(tag_value) IN ('jpg', 'image', 'usb-blue') GROUP BY 1) SELECT file_id FROM r ORDER BY a DESC, b DESC, c DESC, seen DESC NULLS LAST, file_id LIMIT 50")
+def tag_priority_order(spark, d):
+    t = tags(spark, d).where(F.lower("tag_value").isin("jpg", "image", "usb-blue"))
+    by = t.groupBy("file_id").agg(F.max(F.lower("tag_value") == "jpg").alias("a"), F.max(F.col("tag_type") == "auto_object").alias("b"), F.max(F.col("tag_type") == "custom").alias("c"))
+    m = table(spark, d, "media_files").select("file_id", "exif_datetime")
+    return ranking.top(by.join(m, "file_id"), 50, F.desc("a"), F.desc("b"), F.desc("c"), F.desc_nulls_last("exif_datetime"), F.col("file_id")).select("file_id")
+
+
+@query("SELECT o_orderkey AS file_id, count(l_orderkey) AS faces FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderpriority, o_orderdate ORDER BY faces DESC, (o_orderpriority = '1-URGENT') DESC, o_orderdate DESC NULLS LAST, o_orderkey LIMIT 50")
+def hint_order(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), "o_orderpriority", "o_orderdate")
+    rows = o.join(faces(spark, d).groupBy("file_id").agg(F.count("*").alias("faces")), "file_id", "left").withColumn("faces", F.coalesce("faces", F.lit(0)))
+    return ranking.top(rows, 50, F.desc("faces"), F.desc(F.col("o_orderpriority") == "1-URGENT"), F.desc_nulls_last("o_orderdate"), F.col("file_id")).select("file_id", "faces")
+
+
+_ONE = "SELECT doc_id AS id, -(ln((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM (SELECT doc_id, len(w) AS len, len(list_filter(w, lambda x: x = '{0}')) AS tf FROM t), (SELECT count(*) AS n, avg(len(w)) AS mean, count(*) FILTER (list_contains(w, '{0}')) AS df FROM t) WHERE tf > 0"
+
+
+@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z가-힣_]+') AS w FROM documents) SELECT id AS doc_id, round(min(score), 6) AS score FROM (" + _ONE.format("river") + " UNION ALL " + _ONE.format("album") + ") GROUP BY 1")
+def index_union_min(spark, d):
+    docs = table(spark, d, "documents")
+    found = text.best_of(*[text.bm25(docs, "doc_id", "text", [w]) for w in ("river", "album")])
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("WITH p AS (SELECT file_id, 'place' AS k, lower(media_kind) AS v FROM media_files) SELECT file_id FROM media_files WHERE 'place=' || CASE WHEN size_bytes % 5 = 0 THEN upper(media_kind) ELSE media_kind END <> 'place=' || media_kind")
+def tag_set_changed(spark, d):
+    m = table(spark, d, "media_files").where("media_kind is not null").dropDuplicates(["file_id"])
+    old = m.select("file_id", F.lit("place").alias("tag_type"), F.col("media_kind").alias("tag_value"))
+    new = m.select("file_id", F.lit("place").alias("tag_type"), F.when(F.col("size_bytes") % 5 == 0, F.upper("media_kind")).otherwise(F.col("media_kind")).alias("tag_value"))
+    return catalog.unlike_tag_sets(old.unionByName(old), new)
+
+
+@query(_TAGS + " SELECT DISTINCT file_id, tag_type, CASE WHEN tag_type = 'custom' AND tag_value = 'jpg' THEN 'JPG' ELSE trim(tag_value) END AS tag_value FROM t")
+def tags_refreshed(spark, d):
+    t = tags(spark, d)
+    new = t.where("tag_type = 'custom'").withColumn("tag_value", F.when(F.col("tag_value") == "jpg", "JPG").otherwise(F.col("tag_value")))
+    return catalog.refresh_tags(t, new, ("custom",)).distinct()
+
+
+@query("SELECT DISTINCT id FROM people WHERE merged_into_id IS NULL AND length(display_name) >= 2 AND (contains(lower(display_name), 'frederick') OR contains('frederick', lower(display_name)) OR contains(lower(display_name), 'una') OR contains('una', lower(display_name)))")
+def person_resolution(spark, d):
+    return resolve_people(table(spark, d, "people").withColumnRenamed("display_name", "label"), ["Frederick", "Una"])
+
+
+@query("WITH w AS (SELECT s_suppkey FROM supplier WHERE length(s_name) >= 2 AND contains(lower(s_name), '00005')) SELECT l_orderkey AS file_id, o_orderdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey IN (SELECT s_suppkey FROM w) GROUP BY 1, 2 ORDER BY o_orderdate DESC NULLS LAST, file_id LIMIT 160")
+def tagged_results(spark, d):
+    """A name in the query leads to the files that show the persons, in the place of files with the name as a tag."""
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.lit(None).cast("long").alias("merged_into_id"))
+    ids = resolve_people(p, ["00005"]).withColumnRenamed("id", "person_id")
+    shown = faces(spark, d).join(ids, "person_id", "left_semi").select("file_id").distinct()
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), "o_orderdate")
+    return ranking.top(shown.join(o, "file_id"), 160, F.desc_nulls_last("o_orderdate"), F.col("file_id"))
+
+
+@query(f"WITH n AS (SELECT vec_id, label, 1 - list_cosine_similarity(embedding::DOUBLE[], {_VECTOR.format(7)}) AS d FROM embeddings ORDER BY d, vec_id LIMIT 40) SELECT vec_id, round(greatest(0, d), 6) AS distance FROM n WHERE label IN (1, 2, 3) ORDER BY d, vec_id LIMIT 10")
+def vector_over_fetch(spark, d):
+    rows = vectors.over_fetch(table(spark, d, "embeddings"), "vec_id", "embedding", _vector(spark, d, 7), 10, F.col("label").isin(1, 2, 3), 4)
+    return rows.select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+@query(_CHANNELS + "SELECT id, 'channels' AS stage, round(raw / max(raw) OVER (), 6) AS delta FROM f UNION ALL SELECT id, 'text', 0.22 FROM f JOIN documents ON id = doc_id WHERE contains(lower(text), 'old bridge') UNION ALL SELECT id, 'lang', 0.08 FROM f JOIN documents ON id = doc_id WHERE lang = 'de'")
+def score_breakdown(spark, d):
+    """What made up each score: a row for each stage that changed it."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    rows = ranking.fuse(_channels(spark, d), ranking.weights("mixed")).join(docs, "id")
+    rows = ranking.explained(rows, {"text": F.when(P.contains_ci(F.col("text"), "old bridge"), 0.22), "lang": F.when(F.col("lang") == "de", 0.08)})
+    return rows.select("id", F.inline("parts")).withColumn("delta", F.round("delta", 6))
+
+
+@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z가-힣_]+') AS w FROM documents) SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS times FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY 1")
+def index_rebuild(spark, d):
+    """The stored text index, written anew: how many documents have each term, and how often."""
+    index = text.TextIndex(spark, f"{shared_folder(spark)}/shutterloom/index-{uuid.uuid4().hex}")
+    index.rebuild(table(spark, d, "documents"), "doc_id", "text")
+    found = cut_lineage(index.postings().groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("times")))
+    remove(spark, index.path)
+    return found
+
+
+@query("""SELECT dir, max(new) AS mtime_ns FROM (
+SELECT dir, CASE WHEN bad > 0 THEN -1 ELSE m END AS new FROM (SELECT regexp_extract(current_path, '^(.*)/', 1) AS dir, max(mtime_ns) AS m, count(*) FILTER (status <> 'ready' OR status IS NULL) AS bad FROM scan_observations WHERE current_path IS NOT NULL GROUP BY 1)
+UNION ALL SELECT dir, m FROM (SELECT regexp_extract(current_path, '^(.*)/', 1) AS dir, max(mtime_ns) AS m FROM media_files WHERE current_path IS NOT NULL GROUP BY 1) WHERE dir NOT IN (SELECT regexp_extract(current_path, '^(.*)/', 1) FROM scan_observations WHERE current_path IS NOT NULL)) GROUP BY 1""")
+def scan_cache(spark, d):
+    o = table(spark, d, "scan_observations").where("current_path is not null").withColumn("dir", F.regexp_extract("current_path", "^(.*)/", 1))
+    cache = table(spark, d, "media_files").where("current_path is not null").groupBy(F.regexp_extract("current_path", "^(.*)/", 1).alias("dir")).agg(F.max("mtime_ns").alias("mtime_ns"))
+    return catalog.saved_dirs(cache, o.groupBy("dir").agg(F.max("mtime_ns").alias("mtime_ns")), o.select("dir", "status"))
+
+
+@query("SELECT l_orderkey AS file_id, l_linenumber AS face_id, CASE WHEN l_linenumber = 1 AND l_suppkey = 3 THEN 99 WHEN l_linenumber = 2 AND l_suppkey = 5 THEN -1 ELSE l_suppkey END AS person_id FROM lineitem")
+def faces_assigned(spark, d):
+    key = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("face_id")
+    f = table(spark, d, "lineitem").select(key, F.col("l_suppkey").cast("long").alias("person_id"), F.lit(None).cast("long").alias("merged_from"))
+    n = F.col("face_id.l_linenumber")
+    chosen = f.where((n == 1) & (F.col("person_id") == 3) | (n == 2) & (F.col("person_id") == 5)).select("face_id", F.when(F.col("person_id") == 3, F.lit(99)).cast("long").alias("to"))
+    return catalog.assign_faces(f, chosen.unionByName(chosen)).select(F.col("face_id.l_orderkey").alias("file_id"), F.col("face_id.l_linenumber").alias("face_id"), F.coalesce("person_id", F.lit(-1)).alias("person_id"))
+
+
+@query("WITH p AS (SELECT DISTINCT l_orderkey AS file_id, l_suppkey AS person_id FROM lineitem) SELECT file_id, person_id, false AS by_hand FROM p WHERE person_id <> 2 UNION ALL SELECT DISTINCT file_id, 1, true FROM p WHERE person_id = 2 AND file_id NOT IN (SELECT file_id FROM p WHERE person_id = 1)")
+def people_edited(spark, d):
+    p = faces(spark, d).distinct().withColumn("by_hand", F.lit(False))
+    two = p.where("person_id = 2")
+    return catalog.remove_person(catalog.add_person(p, two.withColumn("person_id", F.lit(1).cast(p.schema["person_id"].dataType))), two)
+
+
+@query("SELECT DISTINCT l_orderkey AS file_id, 'person' AS tag_type, s_name AS tag_value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey UNION ALL SELECT DISTINCT l_orderkey, 'place', 'x' FROM lineitem WHERE l_linenumber = 3")
+def labels_filled(spark, d):
+    f = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    want = f.select(F.col("l_orderkey").alias("file_id"), F.col("s_name").alias("label"))
+    have = f.where("l_linenumber <= 2").select(F.col("l_orderkey").alias("file_id"), F.lit("person").alias("tag_type"), F.when(F.col("l_linenumber") == 1, F.col("s_name")).otherwise(F.lower("s_name")).alias("tag_value")).distinct()
+    have = have.unionByName(f.where("l_linenumber = 3").select(F.col("l_orderkey").alias("file_id"), F.lit("place").alias("tag_type"), F.lit("x").alias("tag_value")).distinct())
+    return catalog.fill_labels(want, have)
+
+
+@query("SELECT file_id, CASE WHEN status <> 'missing' THEN current_path ELSE 'thumb/' || file_id END AS source FROM media_files WHERE NOT (size_bytes % 3 = 0 AND mtime_ns % 2 = 0) OR size_bytes IS NULL OR mtime_ns IS NULL")
+def vector_work(spark, d):
+    m = table(spark, d, "media_files")
+    files = m.select("file_id", F.when(F.col("status") != "missing", F.col("current_path")).alias("original"), F.concat(F.lit("thumb/"), "file_id").alias("thumbnail"))
+    held = m.where("size_bytes % 3 = 0").select("file_id", F.lit("clip").alias("model"), F.when(F.col("mtime_ns") % 2 == 0, "v2").otherwise("v1").alias("version"))
+    return catalog.vector_work(files, held, "clip", "v2")
+
+
+@query("SELECT doc_id, text AS lines FROM documents WHERE text IS NOT NULL AND trim(text) = text AND text <> '' AND NOT regexp_matches(text, '[\n\r\t]|  ') AND regexp_full_match(text, '[ -~]*')")
+def lines_merged(spark, d):
+    rows = table(spark, d, "documents").where("text is not null and trim(text) = text and text <> ''").where(~F.col("text").rlike("[\n\r\t]|  ") & F.col("text").rlike("^[ -~]*$"))
+    return rows.select("doc_id", catalog.merge_lines(F.concat("text", F.lit("\n")), F.upper("text")).alias("lines"))
+
+
+@query("WITH j AS (SELECT event_id AS job_id, CASE WHEN event_type = 'click' THEN 'running' ELSE 'done' END AS status, ts AS beat_at FROM events), n AS (SELECT max(ts) AS now FROM events), o AS (SELECT min(job_id) AS one FROM j, n WHERE status = 'running' AND beat_at > now - INTERVAL 300 SECOND) SELECT job_id, CASE WHEN status <> 'running' THEN status WHEN NOT beat_at > now - INTERVAL 300 SECOND THEN 'canceled' WHEN job_id = one THEN 'running' ELSE 'queued' END AS settled FROM j, n, o")
+def jobs_settled(spark, d):
+    e = table(spark, d, "events")
+    now = e.agg(F.max("ts")).first()[0]
+    jobs = e.select(F.col("event_id").alias("job_id"), F.when(F.col("event_type") == "click", "running").otherwise("done").alias("status"), F.col("ts").alias("beat_at"))
+    return catalog.settle_jobs(jobs, F.lit(now).cast("timestamp_ntz")).select("job_id", "settled")
+
+
 # --- events ---
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -32,6 +32,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p5_spots(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs between positions only, each by its smallest city: with the members of positions, the whole result."""
+    _, met = spatial.near_spots(table(spark, d, "cities"), "city_id", "latitude", "longitude", 3.0)
+    return met.where("pos_a <> pos_b").select(F.col("pos_a").alias("spot_a"), F.col("pos_b").alias("spot_b")).distinct()
+
+
 _TREE = """
 WITH RECURSIVE named AS (SELECT id, min(merged_into_id) AS parent FROM people WHERE id IS NOT NULL GROUP BY id),
 links AS (SELECT a.id, b.id AS parent, a.parent IS NOT NULL AS linked FROM named a LEFT JOIN named b ON a.parent = b.id),
@@ -49,7 +55,7 @@ _KM = (
     " + cos(radians(a.la)) * cos(radians(b.la)) * pow(sin(radians(b.lo - a.lo) / 2), 2))))"
 )
 
-QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_spots": p5_spots}
 
 SQL = {
     "p3_found": _TREE + "SELECT s.id, s.root_id, s.depth FROM solved s JOIN links l ON s.id = l.id WHERE l.linked",
@@ -58,6 +64,9 @@ SQL = {
     + """, pairs AS (SELECT id AS ancestor_id, id AS descendant_id, CAST(0 AS BIGINT) AS distance FROM down
   UNION ALL SELECT p.ancestor_id, l.id, p.distance + 1 FROM pairs p JOIN links l ON l.parent = p.descendant_id)
 SELECT ancestor_id, descendant_id, distance FROM pairs WHERE distance > 0""",
+    "p5_spots": f"""
+WITH c AS (SELECT latitude AS la, longitude AS lo, min(city_id) AS id FROM cities WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT isnan(latitude) AND NOT isnan(longitude) GROUP BY 1, 2)
+SELECT DISTINCT a.id AS spot_a, b.id AS spot_b FROM c a JOIN c b ON a.id < b.id AND b.la BETWEEN a.la - 0.03 AND a.la + 0.03 WHERE {_KM} <= 3.0""",
     "p5_found": f"""
 WITH c AS (SELECT DISTINCT city_id AS id, latitude AS la, longitude AS lo FROM cities
   WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT isnan(latitude) AND NOT isnan(longitude))

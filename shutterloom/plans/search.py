@@ -121,13 +121,13 @@ def judged(library: DataFrame, plan: Plan, encode: Encoder | None = None, index:
     return rows.where("held or kind is not null or grams > 0 or tagged or tag_like or hinted or distance is not null or bm25 is not null")
 
 
-def channels(rows: DataFrame, plan: Plan, limit: int, mode: str, vector: bool, by_person: bool = False) -> dict[str, DataFrame]:
+def channels(rows: DataFrame, plan: Plan, limit: int, mode: str, vector: bool, by_person: bool = False, clear: bool = False) -> dict[str, DataFrame]:
     """The channels that run for this mode, each ranked, out of the judged rows."""
     k = max(4 * limit, limit + 20) if plan.has_hard_filters else limit
     out: dict[str, DataFrame] = {}
     pure_person = bool(plan.persons) and not plan.visuals and not plan.places
     newest = F.desc_nulls_last("taken"), F.col("id")
-    if not plan.exact_tag and not pure_person and mode != "semantic":
+    if not plan.exact_tag and not pure_person and not clear and mode != "semantic":
         held = rows.where("held").select("id", F.lit(0).alias("by"), F.lit(0.0).alias("less"), "taken")
         if held.limit(limit).count() < limit:  # few hold the words: those that share pairs of characters stand behind
             held = held.unionByName(rows.where("not held and grams > 0").select("id", F.lit(1).alias("by"), (-F.col("grams")).cast("double").alias("less"), "taken"))
@@ -160,10 +160,10 @@ def run(
         up = F.coalesce("up", F.lit(False))
     rows = cut_lineage(seen)  # the rows that hit, without their texts
     hits = rows.where("held").select("kind").limit(4 * limit).groupBy().agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "word").alias("word"), F.count_if(F.col("kind") == "phrase").alias("phrase")).first()
-    clear = plan.intent == "visual" and not planner.found(plan.query, W.TEXT)  # the text channel is not asked, so nothing is known of its hits
+    clear = plan.intent == "visual" and not planner.found(plan.keywords, W.TEXT)  # the text channel is not asked, so nothing is known of its hits
     mode, _ = planner.route(plan, requested, *((0, 0, 0) if clear else (hits.word, hits.phrase, hits.n)))
     vector = encode is not None and "embedding" in library.columns
-    found = channels(rows, plan, limit, mode, vector, persons is not None)
+    found = channels(rows, plan, limit, mode, vector, persons is not None, clear)
     weights = ranking.weights({"ocr": "ocr", "semantic": "semantic"}.get(mode, plan.intent if plan.intent == "mixed" else "default"), stored, empty_clip="clip" not in found)
     fused = ranking.fuse(found, weights).join(rows, "id")
     B = ranking.BOOST

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,3 +90,20 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.addPyFile(shutil.make_archive(os.path.join(folder, "shutterloom"), "zip", root, "shutterloom"))
     sc._shutterloom = True
+
+
+def stored_blocks(df: DataFrame, blocks: int) -> tuple[DataFrame, Callable[[], Iterator]]:
+    """``df`` written in about ``blocks`` files of the shared folder, and what yields them as pandas frames within a task,
+    one at a time: a table that many rows meet, but that no task or driver has to hold."""
+    written = cut_lineage(df.repartition(blocks))
+    files = sorted(written.inputFiles())
+
+    def read() -> Iterator:
+        import pyarrow.fs
+        import pyarrow.parquet
+
+        for f in files:
+            fs, at = pyarrow.fs.FileSystem.from_uri(f)
+            yield pyarrow.parquet.read_table(at, filesystem=fs).to_pandas()
+
+    return written, read

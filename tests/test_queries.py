@@ -45,5 +45,5 @@ def test_query(spark, con, name):
 
 @needs_data
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["id", "score", "reason", "pos", "used"]
+    assert entry.entry(spark).columns == ["id", "score", "reason"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
