@@ -8,11 +8,14 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
-_written: dict[int, tuple[DataFrame, str]] = {}
+_folders: set[str] = set()
+_scopes: list[list[DataFrame]] = []
 
 
 def local_session(cpus: int | str = 8, app: str = "shutterloom", **conf: str) -> SparkSession:
@@ -53,13 +56,20 @@ def shared_folder(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from the written copy, with fresh statistics.
 
-    ``replaces`` is an earlier result of this function that nothing will read any more; its files go.
+    ``replaces`` is an earlier result of this function that nothing will read any more; its files go. All tables of an
+    application lie in a folder of its own, which goes with the application; ``scratch`` lets them go earlier.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/shutterloom/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/shutterloom/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _written[id(out)] = (out, path)
+    out._cut = path
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_forget, folder)
+    if _scopes:
+        _scopes[-1].append(out)
     if replaces is not None:
         release(replaces)
     return out
@@ -67,11 +77,51 @@ def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete the files of a table that ``cut_lineage`` wrote, once nothing will read it any more."""
-    _, path = _written.pop(id(df), (None, None))
+    path = df.__dict__.pop("_cut", None)
     if path:
         remove(df.sparkSession, path)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within this scope tables are written for passing use: at its end all go, but the one that was handed to ``keep``.
+
+    >>> with scratch() as keep:
+    ...     result = keep(program(df))  # written, so that it needs no other table
+    """
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df if "_cut" in df.__dict__ else cut_lineage(df))
+        return kept[-1]
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for df in own:
+            if not any(df is k for k in kept):
+                release(df)
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
+def _forget(folder: str) -> None:
+    """Delete the tables of an application at its end: through Spark where it still runs, else where the folder is a path."""
+    sc = SparkContext._active_spark_context
+    try:
+        if sc is not None:
+            at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        elif folder.startswith("file:"):
+            shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
+    except Exception:  # the gateway may be gone by now
+        if folder.startswith("file:"):
+            shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     sc = spark.sparkContext

@@ -50,7 +50,7 @@ def test_people_lead_to_the_files_that_show_them(spark):
     people = spark.createDataFrame([(10, "Annabel", None), (11, "Anna", 10), (12, "Ben", None)], "id long, label string, merged_into_id long")
     faces = spark.createDataFrame([(5, 10), (7, 12)], "id long, person_id long")
     assert ids(S.search(lib, "Anna photos", TODAY, {"person": {"Anna"}}, people=people, faces=faces)) == [5]
-    assert ids(S.search(lib, "Anna photos", TODAY, {"person": {"Anna"}})) == [4, 7]  # by tags alone, fewer people first
+    assert ids(S.search(lib, "Anna photos", TODAY, {"person": {"Anna"}})) == [4, 7, 5]  # by tags alone, fewer people first, then others with faces
     assert [r.id for r in S.resolve_people(people, ["ann", "x"]).collect()] == [10]
 
 
