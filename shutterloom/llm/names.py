@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterloom.operators.components import components
-from shutterloom.session import cut_lineage
+from shutterloom.session import cut_lineage, scratch
 
 # Common forenames, their irregular short forms, and the words names are built with.
 FORENAMES = """
@@ -437,5 +437,6 @@ def entities(people: DataFrame, id_col: str = "id", name_col: str = "display_nam
 
 def same_pairs(people: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b: two rows of one entity."""
-    e = cut_lineage(entities(people, lexicon=lexicon))
+    with scratch() as keep:
+        e = keep(entities(people, lexicon=lexicon))
     return e.select(F.col("id").alias("id_a"), "entity").join(e.select(F.col("id").alias("id_b"), "entity"), "entity").where("id_a < id_b").select("id_a", "id_b")

@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterloom.llm import glyphs, history, leakage, mixing, names, neighbours, readability
-from shutterloom.session import remove
+from shutterloom.session import remove, scratch
 from shutterloom.sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbours.top_similar(table(spark, d, "person_centroids"), "person_id", "centroid", k=10, min_similarity=0.85)
+    with scratch() as keep:
+        near = keep(neighbours.top_similar(table(spark, d, "person_centroids"), "person_id", "centroid", k=10, min_similarity=0.85))
     return near.select(F.least("id", "neighbour_id").alias("person_id_a"), F.greatest("id", "neighbour_id").alias("person_id_b")).distinct()
 
 
 def p1_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar to each person whose id is divisible by 100, among all."""
-    near = neighbours.top_similar(table(spark, d, "person_centroids"), "person_id", "centroid", k=10, only="id % 100 = 0", probes=None, beam=200)
+    with scratch() as keep:
+        near = keep(neighbours.top_similar(table(spark, d, "person_centroids"), "person_id", "centroid", k=10, only="id % 100 = 0", probes=None, beam=200))
     return near.select(F.col("id").alias("person_id"), "neighbour_id", F.round("similarity", 6).alias("similarity"), "place")
 
 
@@ -27,7 +29,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_entities(spark: SparkSession, d: str) -> DataFrame:
     """Each row that names somebody, with the smallest id of its entity."""
-    e = names.entities(table(spark, d, "people"))
+    with scratch() as keep:
+        e = keep(names.entities(table(spark, d, "people")))
     least = e.groupBy("entity").agg(F.min("id").alias("entity_id"), F.count("*").alias("spelled_by"))
     return e.join(least, "entity").select("id", "entity_id", "spelled_by")
 
