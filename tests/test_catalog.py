@@ -89,7 +89,7 @@ def test_alias_clusters_take_every_edge(spark, tmp_path):
     rows += [(500, 1000 + i, 2.0) for i in range(300)] + [(600 + i, 5000 + i, 3.0) for i in range(40)] + [(601 + i, 5000 + i, 3.0) for i in range(40)]  # a hub and a chain
     rows += [(n, n, 7.0) for n in range(900, 910)]  # equal keys of a supplier and a part
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = catalogue.QUERIES["alias_clusters_all"](spark, str(tmp_path)).collect()
+    got = catalogue.QUERIES["alias_clusters"](spark, str(tmp_path)).collect()
     assert {r.node: r.component for r in got} == _by_flooding([(2 * s, 2 * p + 1) for s, p, _ in rows])
     assert len(got) == len({r.node for r in got})
 
@@ -101,7 +101,7 @@ def test_labels_are_followed_through_merges(spark, tmp_path):
         (11, "Gerd", None, 12), (12, "Hans", None, 11), (13, None, '["Inge"]', 11), (14, "  ", '["", "Jo"]', None),  # a cycle
     ]
     spark.createDataFrame(rows, "id long, display_name string, aliases_json string, merged_into_id long").write.parquet(f"{tmp_path}/people.parquet")
-    got = {r.name: r.person_id for r in catalogue.QUERIES["resolve_labels_all"](spark, str(tmp_path)).collect()}
+    got = {r.name: r.person_id for r in catalogue.QUERIES["resolve_labels"](spark, str(tmp_path)).collect()}
     assert got == {
         "Anna": 3, "anna ": 3, "Annie": 4, " ANN ": 4, "Berta": 4, "Dora": 4, "Emil": 9, "Fritz": 9,
         "Gerd": 11, "Hans": 11, "Inge": 11, "Jo": 14, "nobody at all": -1,
