@@ -249,7 +249,7 @@ def near_pairs(rows: DataFrame, id_col: str, lat_col: str, lon_col: str, km: flo
 
 def nearest_other(points: DataFrame, others: DataFrame, km: float, first_km: float = 3.0) -> DataFrame:
     """(lat, lon, key, km): for each position the nearest of ``others`` (key, lat, lon) within ``km``; ties go to the smaller
-    key. Radii grow fivefold, and each round has only the positions that have found nothing yet, in cells of their own."""
+    key. Radii grow sixfold, and each round has only the positions that have found nothing yet, in cells of their own."""
     left = cut_lineage(points.select("lat", "lon").distinct())
     held = cut_lineage(others.groupBy("lat", "lon").agg(F.min("key").alias("key")))
     out, radius = None, min(first_km, km)
@@ -285,7 +285,7 @@ def nearest_other(points: DataFrame, others: DataFrame, km: float, first_km: flo
         if radius >= km:
             return out
         left = cut_lineage(left.join(found, ["lat", "lon"], "left_anti"), replaces=left)
-        radius = min(km, radius * 5)
+        radius = min(km, radius * 6)
 
 
 class Sweep:

@@ -13,22 +13,22 @@ from shutterloom.functions.predicates import bigrams, contains_ci
 K1, B = 1.2, 0.75
 
 
-def _times(low: Column, word: str) -> Column:
-    """How often a token occurs in a lower-case text."""
-    edge = "[0-9a-z가-힣_]"
-    return F.when(F.contains(low, F.lit(word)), F.regexp_count(low, F.lit(f"(?<!{edge}){re.escape(word)}(?!{edge})"))).otherwise(0)
+def read_words(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
+    """``keep`` and ``_words``, the tokens of a text; a null text has none but counts as a row. A generator gives them, so
+    that filters on what is counted in them do not read the text again."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("([0-9a-z가-힣_]+)"), 1)
+    return docs.select(*keep, F.explode(F.array(words)).alias("_words"))
 
 
-def term_counts(col: Column, query: tuple[str, ...] | list[str]) -> list[Column]:
-    """len, tf0, tf1, ...: the tokens of a text and how often it has each of the query's, in one narrow pass; a text is
-    searched for a token only where it holds its letters at all."""
-    low = F.lower(F.coalesce(col, F.lit("")))  # a null text has no tokens but counts as a row
-    return [F.regexp_count(low, F.lit("[0-9a-z가-힣_]+")).alias("len"), *[_times(low, q).alias(f"tf{i}") for i, q in enumerate(query)]]
+def term_counts(query: tuple[str, ...] | list[str]) -> list[Column]:
+    """len, tf0, tf1, ...: the tokens of a text and how often it has each of the query's, over ``read_words``."""
+    w = F.col("_words")
+    return [F.size(w).alias("len"), *[(F.size(w) - F.size(F.array_remove(w, q))).alias(f"tf{i}") for i, q in enumerate(query)]]
 
 
 def statistics(docs: DataFrame, text_col: str, query: tuple[str, ...] | list[str]) -> tuple[int, float, list[int]]:
     """(rows, mean length, rows with each token): one row of numbers."""
-    found = docs.select(*term_counts(F.col(text_col), query)).agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))]).first()
+    found = read_words(docs, text_col).select(*term_counts(query)).agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))]).first()
     return found.n, found.mean or 1.0, [found[f"df{i}"] for i in range(len(query))]
 
 
@@ -47,7 +47,7 @@ def score_of(query: tuple[str, ...] | list[str], stats: tuple[int, float, list[i
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str]) -> DataFrame:
     """(id, score), more negative is better: documents with any query token."""
     asked = sorted(set(query))
-    parts = docs.select(F.col(id_col).alias("id"), *term_counts(F.col(text_col), asked))
+    parts = read_words(docs, text_col, F.col(id_col).alias("id")).select("id", *term_counts(asked))
     return parts.select("id", score_of(asked, statistics(docs, text_col, asked)).alias("score")).where("score is not null")
 
 

@@ -91,6 +91,9 @@ def judged(library: DataFrame, plan: Plan, encode: Encoder | None = None, index:
         near = F.least(*[F.lit(1.0) - vectors.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in encode(v)])) for v in plan.variants or (plan.text,)], F.lit(None).cast("double"))
     solo = F.lit(len(plan.persons) == 1) & P.any_fits(_values("person"), [t.lower() for t in plan.persons]) & (F.coalesce("people", F.lit(0)) <= 1)
     fits = lambda role, terms: sum((F.when(P.any_fits(_values(role), [t.lower(), *widened(t)]), 1).otherwise(0) for t in terms), F.lit(0))
+    counted = not (index or plan.exact_tag)
+    if counted:
+        rows = text.read_words(rows, "text", *[F.col(c) for c in rows.columns])
     rows = rows.select(
         "id", "taken", F.coalesce("people", F.lit(0)).alias("people"),
         text.match_kind(F.col("text"), words).alias("kind"),
@@ -103,7 +106,7 @@ def judged(library: DataFrame, plan: Plan, encode: Encoder | None = None, index:
         tag(lambda t: F.contains(value(t), F.lit(words.lower()))).alias("tag_like"),
         F.coalesce(hinted, F.lit(False)).alias("hinted"), near.alias("distance"), F.coalesce(solo, F.lit(False)).alias("solo"),
         fits("place", plan.places).alias("places_fit"), fits("person", plan.persons).alias("persons_fit"),
-        *([] if index or plan.exact_tag else text.term_counts(F.col("text"), plan.tokens)),
+        *(text.term_counts(plan.tokens) if counted else []),
     )
     score = F.lit(None).cast("double")
     if plan.tokens and not plan.exact_tag:
